@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: money is added up with four decimals, which makes sums independent of row order.
+# Money is added up with four decimals and scores with nine, which makes sums
+# independent of row order.
 MONEY = "decimal(18,4)"
+SCORE = "decimal(18,9)"
 
 
 def money_sum(column: str | Column) -> Column:
@@ -22,9 +24,9 @@ def money_avg(column: str | Column) -> Column:
 
 
 def score_avg(column: str | Column) -> Column:
-    """Mean of a score, added up with twelve decimals so that row order does not matter."""
+    """Mean of a score; NULL if there are none."""
     col = F.col(column) if isinstance(column, str) else column
-    return F.try_divide(F.sum(col.cast("decimal(26,12)")).cast("double"), F.count(col))
+    return F.try_divide(F.sum(col.cast(SCORE)).cast("double"), F.count(col))
 
 
 def format_percent(column: str, decimals: int) -> Column:

@@ -68,8 +68,13 @@ def column_type(table: str, column: str) -> T.DataType:
     return DOUBLE if column.endswith((SPEND_SUFFIX, PCT_SUFFIX)) else TEXT
 
 
-def struct_for(table: str, columns: Iterable[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, column_type(table, c), True) for c in columns])
+def struct_for(
+    table: str, columns: Iterable[str], types: Mapping[str, T.DataType] | None = None
+) -> T.StructType:
+    given = types or {}
+    return T.StructType(
+        [T.StructField(c, given.get(c, column_type(table, c)), True) for c in columns]
+    )
 
 
 def has(df: DataFrame, *columns: str) -> bool:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillview.functions.dates import with_order_timestamp
 from tillview.schemas import has, struct_for
@@ -12,49 +15,52 @@ from tillview.schemas import has, struct_for
 CSV_OPTIONS = {"header": "true", "escape": '"'}
 
 
-def read_table(spark: SparkSession, table: str, path: str, date_format: str | None = None) -> DataFrame:
-    """Read one logical table by format of ``path`` (parquet if so named, else CSV with a header).
+def read_table(
+    spark: SparkSession,
+    table: str,
+    path: str,
+    date_format: str | None = None,
+    types: Mapping[str, T.DataType] | None = None,
+) -> DataFrame:
+    """Read one logical table: parquet if ``path`` ends so, else CSV with a header.
 
     The header line is read first, so optional and per-category columns get their declared types
-    without schema inference over the data.
+    without schema inference over the data; ``types`` overrides some, such as text customer ids.
+    Text that does not fit its type, dates included, raises.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    # The header alone: no schema means text columns, and no data pass.
-    columns = spark.read.options(**CSV_OPTIONS).csv(path).columns
-    schema = struct_for(table, columns)
-    if date_format is not None and "order_date" in columns:
-        schema["order_date"].dataType = struct_for(table, ["name"])["name"].dataType
-    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
-    return with_order_timestamp(df, date_format)
+    reader = spark.read.options(**CSV_OPTIONS)
+    schema = struct_for(table, reader.csv(path).columns, {"order_date": T.StringType(), **(types or {})})
+    return with_order_timestamp(reader.schema(schema).option("mode", "FAILFAST").csv(path), date_format)
 
 
-def read_transactions(spark: SparkSession, path: str, date_format: str | None = None) -> DataFrame:
-    return read_table(spark, "transactions", path, date_format)
+def read_transactions(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_table(spark, "transactions", path, **options)
 
 
-def read_purchases(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, "purchases", path)
+def read_purchases(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_table(spark, "purchases", path, **options)
 
 
-def read_category_features(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, "category_features", path)
+def read_category_features(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_table(spark, "category_features", path, **options)
 
 
-def read_rfm(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, "rfm", path)
+def read_rfm(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_table(spark, "rfm", path, **options)
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, "catalog", path)
+def read_catalog(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_table(spark, "catalog", path, **options)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, "predictions", path)
+def read_predictions(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_table(spark, "predictions", path, **options)
 
 
-def read_customer_recs(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, "customer_recs", path)
+def read_customer_recs(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_table(spark, "customer_recs", path, **options)
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
