@@ -61,16 +61,19 @@ def _between_cells(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables([_improved(left, right), _improved(right, left)])
 
 
-def _highest_product(size: int) -> Column:
+def _highest_product() -> Column:
     """Upper bound of the dot product between any two vectors inside two value ranges."""
-    bound = F.lit(0.0)
-    for i in range(size):
-        ends = [
-            F.col(f"{a}.{e}")[i] * F.col(f"{b}.{f}")[i]
-            for a, b in [("l", "r")] for e in ("low", "high") for f in ("low", "high")
-        ]
-        bound = bound + F.greatest(*ends)
-    return bound
+    def products(a: str, b: str) -> Column:
+        return F.zip_with(a, b, lambda x, y: x * y)
+
+    def higher(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+
+    ends = higher(
+        higher(products("l.low", "r.low"), products("l.low", "r.high")),
+        higher(products("l.high", "r.low"), products("l.high", "r.high")),
+    )
+    return F.aggregate(ends, F.lit(0.0), lambda total, x: total + x)
 
 
 def best_matches(
@@ -80,7 +83,8 @@ def best_matches(
 
     ``vectors`` has ``id`` (unique), ``block``, ``near`` (orders rows so that similar ones share a
     cell) and ``vector``, an array of ``size`` doubles of unit length. A cell has at most
-    ``2 ** cell_bits`` rows. ``match`` is NULL for a row alone in its block.
+    ``2 ** cell_bits`` rows. ``match`` is NULL for a row that has nothing in common with any other,
+    such as one alone in its block.
     """
     # The increasing id counts up within each sort partition, so a shift cuts it into cells.
     placed = vectors.sort("block", "near", "id").select(
@@ -95,14 +99,14 @@ def best_matches(
         )
     )
 
-    def edge(pick) -> Column:
-        return F.array(*[pick(F.col("vector")[i]) for i in range(size)])
+    def edge(pick: str) -> Column:
+        return F.expr("array(" + ", ".join(f"{pick}(vector[{i}])" for i in range(size)) + ")")
 
     ranges = cells.groupBy("block", "cell").agg(
         # A row alone in its cell has nothing yet, so anything can be better.
         F.min(F.coalesce("similarity", F.lit(-2.0))).alias("floor"),
-        edge(F.min).alias("low"),
-        edge(F.max).alias("high"),
+        edge("min").alias("low"),
+        edge("max").alias("high"),
     )
     # One block may own most cells: its left cells are spread over the salts.
     left = ranges.withColumn("salt", F.pmod(F.xxhash64("cell"), F.lit(salts)))
@@ -111,23 +115,23 @@ def best_matches(
         left.alias("l")
         .join(right.alias("r"), ["block", "salt"])
         .filter(F.col("l.cell") < F.col("r.cell"))
-        .filter(_highest_product(size) >= F.least("l.floor", "r.floor") - 10.0**-DECIMALS)
+        .filter(_highest_product() >= F.least("l.floor", "r.floor") - 10.0**-DECIMALS)
         .select("block", F.col("l.cell").alias("a"), F.col("r.cell").alias("b"))
     )
     members = cells.select("id", "block", "cell", "vector", "similarity")
 
     def side(which: str) -> DataFrame:
         rows = members.withColumnRenamed("cell", which)
-        return meetings.join(rows, ["block", which]).select(
-            "block", "a", "b", "id", "vector", "similarity"
-        )
+        columns = ("block", "a", "b", "id", "vector", "similarity")
+        # Fresh aliases keep the two sides apart, which stem from the same table.
+        return meetings.join(rows, ["block", which]).select(*[F.col(c).alias(c) for c in columns])
 
     better = (
         side("a").groupBy("block", "a", "b")
         .cogroup(side("b").groupBy("block", "a", "b"))
         .applyInArrow(_between_cells, T.StructType([T.StructField("id", id_type), *found]))
     )
-    offer = F.when(F.col("match").isNotNull(), F.struct((-F.col("similarity")).alias("below"), "match"))
+    offer = F.when(F.col("similarity") > 0, F.struct((-F.col("similarity")).alias("below"), "match"))
     return (
         cells.select("id", "match", "similarity")
         .unionByName(better)

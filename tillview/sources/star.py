@@ -22,8 +22,22 @@ ANCHOR = "2001-08-02"
 CATEGORIES = tuple(f"brand_{i}" for i in range(1, 26))
 
 
+# Columns of the star schema tables. Declared, so that no job reads footers first.
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_extendedprice double, "
+                "l_discount double, l_linestatus string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, value double",
+}
+
+
 def star(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(STAR_SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def _category() -> Column:
@@ -148,38 +162,37 @@ def category_features(bought: DataFrame, categories: Sequence[str] = CATEGORIES)
     """
     spend = bought.groupBy("customer_id", "category").agg(F.sum("amount").alias("_amount"))
     placed = [
-        F.max(F.when(F.col("category") == c, F.col("_amount").cast("double"))).alias(f"_{c}")
+        F.expr(f"coalesce(max(CAST(_amount AS double)) FILTER (WHERE category = '{c}'), 0D) "
+               f"AS `{c}{SPEND_SUFFIX}`")
         for c in categories
     ]
     wide = spend.groupBy("customer_id").agg(*placed, F.sum("_amount").cast("double").alias("_total"))
-    filled = wide.select(
-        "customer_id", "_total",
-        *[F.coalesce(F.col(f"_{c}"), F.lit(0.0)).alias(f"{c}{SPEND_SUFFIX}") for c in categories],
-    )
-    return filled.select(
+    return wide.selectExpr(
         "customer_id",
-        *[f"{c}{SPEND_SUFFIX}" for c in categories],
-        *[F.try_divide(f"{c}{SPEND_SUFFIX}", "_total").alias(f"{c}{PCT_SUFFIX}") for c in categories],
+        *[f"`{c}{SPEND_SUFFIX}`" for c in categories],
+        *[f"try_divide(`{c}{SPEND_SUFFIX}`, _total) AS `{c}{PCT_SUFFIX}`" for c in categories],
     )
 
 
-def ranked_category(rank: int, categories: Sequence[str] = CATEGORIES) -> Column:
-    """The category with the ``rank``-th highest spend of a wide row (1 is the top), ties by name."""
-    entries = F.array(*[
-        F.struct((-F.col(f"{c}{SPEND_SUFFIX}")).alias("below"), F.lit(c).alias("category"))
-        for c in categories
-    ])
-    if rank == 1:
-        return F.array_min(entries)["category"]
-    return F.array_sort(entries)[rank - 1]["category"]
+def spend_array(categories: Sequence[str] = CATEGORIES) -> Column:
+    return F.expr("array(" + ", ".join(f"`{c}{SPEND_SUFFIX}`" for c in categories) + ")")
+
+
+def ranked_categories(categories: Sequence[str] = CATEGORIES) -> Column:
+    """All categories of a wide row by descending spend, ties by name."""
+    entries = ", ".join(
+        f"struct(-`{c}{SPEND_SUFFIX}` AS below, '{c}' AS category)" for c in categories
+    )
+    return F.expr(f"sort_array(array({entries})).category")
 
 
 def spend_norm(categories: Sequence[str] = CATEGORIES) -> Column:
     """Length of the spend vector, added up in category order."""
-    total = F.lit(0.0)
-    for c in categories:
-        total = total + F.col(f"{c}{SPEND_SUFFIX}") * F.col(f"{c}{SPEND_SUFFIX}")
-    return F.sqrt(total)
+    return F.sqrt(F.aggregate(spend_array(categories), F.lit(0.0), lambda total, x: total + x * x))
+
+
+def top_category(features: DataFrame) -> DataFrame:
+    return features.select("customer_id", ranked_categories()[0].alias("top_category"))
 
 
 def _list_of(wanted: Column) -> Column:
@@ -208,7 +221,7 @@ def carts(lines: DataFrame, orders: DataFrame, features: DataFrame) -> DataFrame
         .select("customer_id", "product", "category")
         .distinct()
     )
-    top = features.select("customer_id", ranked_category(1).alias("top_category"))
+    top = top_category(features)
     same = F.col("category") == F.col("top_category")
     return (
         open_items.join(top, "customer_id")
@@ -253,9 +266,11 @@ def predictions(
         money_sum("total_spent").alias("total_spent"),
         F.count(F.lit(1)).alias("total_transactions"),
     )
-    entries = [x for c in categories for x in (F.lit(c), F.col(f"{c}{SPEND_SUFFIX}"))]
+    names = F.lit(list(categories))
     vectors = category_features(bought, categories).select(
-        "customer_id", F.create_map(*entries).alias("_spend"), spend_norm(categories).alias("_norm")
+        "customer_id",
+        F.map_from_arrays(names, spend_array(categories)).alias("_spend"),
+        spend_norm(categories).alias("_norm"),
     )
     people = customer_places(spark, folder).select(
         "customer_id", "region", F.col("city_name").alias("city"), "gender"
@@ -278,16 +293,18 @@ def customer_matches(
     Similarity is the cosine of category spend, to nine decimals; the lower id wins a tie. A
     higher ``depth`` makes blocks smaller and the search cheaper.
     """
-    def top(count: int) -> Column:
-        return F.concat_ws("|", *[ranked_category(r, categories) for r in range(1, count + 1)])
-
-    lengths = features.withColumn("_norm", spend_norm(categories)).filter(F.col("_norm") > 0)
-    spend = F.array(*[f"{c}{SPEND_SUFFIX}" for c in categories])
-    vectors = lengths.select(
+    unit = F.transform("spend", lambda s: F.coalesce(F.try_divide(s, F.col("norm")), F.lit(0.0)))
+    ranked = features.select(
         F.col("customer_id").alias("id"),
-        top(depth).alias("block"),
-        top(3).alias("near"),
-        F.transform(spend, lambda s: s / F.col("_norm")).alias("vector"),
+        ranked_categories(categories).alias("ranked"),
+        spend_array(categories).alias("spend"),
+        spend_norm(categories).alias("norm"),
+    )
+    vectors = ranked.select(
+        "id",
+        F.array_join(F.slice("ranked", 1, depth), "|").alias("block"),
+        F.array_join(F.slice("ranked", 1, 3), "|").alias("near"),
+        unit.alias("vector"),
     )
     return best_matches(vectors, len(categories)).select(
         F.col("id").alias("customer_id"),
@@ -304,7 +321,7 @@ def recommended_items(matches: DataFrame, bought: DataFrame, features: DataFrame
     """
     pairs = bought.select("customer_id", "product", "category")
     theirs = pairs.withColumnRenamed("customer_id", "Matched_Customer_ID")
-    top = features.select("customer_id", ranked_category(1).alias("top_category"))
+    top = top_category(features)
     offered = matches.join(top, "customer_id").join(theirs, "Matched_Customer_ID")
     new = offered.join(pairs, ["customer_id", "product"], "left_anti")
     return new.select(
