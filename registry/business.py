@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from registry import tables as t
 from registry.core import count, money_avg, money_sum, query
 from registry.tables import SPEND
@@ -16,6 +19,11 @@ IN_RANGE = f"order_date BETWEEN TIMESTAMP '{LOW}' AND TIMESTAMP '{HIGH}'"
 STOP_WORDS = ("red", "small")
 
 
+def as_text(df: DataFrame, column: str) -> DataFrame:
+    """A date as text, which every engine hands out alike."""
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
 # -- filters and option lists ---------------------------------------------------------------
 
 @query("fil_01_by_date_range", "SELECT * FROM t_events WHERE order_date BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-09'", "t_events")
@@ -95,9 +103,9 @@ def _(spark, sf):
 
 # -- revenue and customers ------------------------------------------------------------------
 
-@query("agg_06_daily_revenue", f"SELECT CAST(order_date AS DATE) AS day, {money_sum('total_spent')} AS revenue FROM t_orders GROUP BY 1", "t_orders")
+@query("agg_06_daily_revenue", f"SELECT CAST(CAST(order_date AS DATE) AS VARCHAR) AS day, {money_sum('total_spent')} AS revenue FROM t_orders GROUP BY 1", "t_orders")
 def _(spark, sf):
-    return b.daily_revenue(t.orders(spark, sf))
+    return as_text(b.daily_revenue(t.orders(spark, sf)), "day")
 
 
 @query("agg_07_payment_distribution", f"SELECT mode_of_payment, {count()} AS orders, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM t_orders) AS share FROM t_orders GROUP BY 1", "t_orders")
@@ -137,7 +145,7 @@ def _(spark, sf):
 
 @query("prj_06_category_label", "SELECT DISTINCT upper(left(category, 1)) || replace(substr(category, 2), '_', ' ') AS label FROM t_catalog", "t_catalog")
 def _(spark, sf):
-    return t.catalog(spark, sf).select(b.category_label(b.F.col("category"), b.SPEND_SUFFIX).alias("label")).distinct()
+    return t.catalog(spark, sf).select(b.category_label(F.col("category"), b.SPEND_SUFFIX).alias("label")).distinct()
 
 
 # -- products -------------------------------------------------------------------------------
@@ -218,12 +226,12 @@ def _(spark, sf):
 
 @query("srt_06_top_states_after_aggregate", f"SELECT state, {money_sum('total_spent')} AS revenue FROM t_orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15", "t_orders")
 def _(spark, sf):
-    return ranking.top_k(b._revenue_by(t.orders(spark, sf), b.F.col("state"), "state"), "revenue", 15, ["state"])
+    return ranking.top_k(b._revenue_by(t.orders(spark, sf), F.col("state"), "state"), "revenue", 15, ["state"])
 
 
-@query("agg_20_daily_revenue_orders", f"SELECT CAST(order_date AS DATE) AS day, {money_sum('total_spent')} AS revenue, {count('transaction_id')} AS orders FROM t_orders GROUP BY 1", "t_orders")
+@query("agg_20_daily_revenue_orders", f"SELECT CAST(CAST(order_date AS DATE) AS VARCHAR) AS day, {money_sum('total_spent')} AS revenue, {count('transaction_id')} AS orders FROM t_orders GROUP BY 1", "t_orders")
 def _(spark, sf):
-    return b.daily_revenue_orders(t.orders(spark, sf))
+    return as_text(b.daily_revenue_orders(t.orders(spark, sf)), "day")
 
 
 @query("agg_21_monthly_revenue", f"SELECT strftime(order_date, '%Y-%m') AS month, {money_sum('total_spent')} AS revenue FROM t_orders GROUP BY 1", "t_orders")
@@ -236,9 +244,9 @@ def _(spark, sf):
     return b.hourly_orders(t.event_orders(spark, sf))
 
 
-@query("dat_01_date_parts", "SELECT *, CAST(order_date AS DATE) AS order_day, CAST(hour(order_date) AS INTEGER) AS order_hour, strftime(order_date, '%Y-%m') AS order_month FROM t_events", "t_events")
+@query("dat_01_date_parts", "SELECT *, CAST(CAST(order_date AS DATE) AS VARCHAR) AS order_day, CAST(hour(order_date) AS INTEGER) AS order_hour, strftime(order_date, '%Y-%m') AS order_month FROM t_events", "t_events")
 def _(spark, sf):
-    return date_parts(t.event_orders(spark, sf))
+    return as_text(date_parts(t.event_orders(spark, sf)), "order_day")
 
 
 # -- quantiles, ranks and RFM ---------------------------------------------------------------
