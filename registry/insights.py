@@ -16,10 +16,10 @@ from tillview.sources import files
 PRODUCT_CATEGORY = "brand_7"
 FILTERS = {
     "category": PRODUCT_CATEGORY, "propensity": (0.2, 0.95), "region": "ASIA",
-    "price": (900.0, 1900.0), "spending": "High Spender", "max_recency": 700, "min_frequency": 3,
+    "price": (900.0, 990.0), "spending": "High Spender", "max_recency": 700, "min_frequency": 3,
 }
 FILTER_SQL = """category = 'brand_7' AND propensity_score BETWEEN 0.2 AND 0.95 AND region = 'ASIA'
-  AND price_inr BETWEEN 900 AND 1900 AND spending_category = 'High Spender' AND Recency <= 700
+  AND price_inr BETWEEN 900 AND 990 AND spending_category = 'High Spender' AND Recency <= 700
   AND Frequency >= 3"""
 TIER = """CASE WHEN propensity_score > 0.7 THEN 'high' WHEN propensity_score BETWEEN 0.4 AND 0.7 THEN 'medium'
   WHEN propensity_score < 0.4 AND Recency > 30 THEN 'at_risk' END"""
@@ -71,7 +71,7 @@ SINGLE_FILTERS = {
     "fil_05_by_product": (lambda df: filters.by_product(df, "small ring #0"), "product = 'small ring #0'"),
     "fil_06_by_propensity": (lambda df: filters.by_propensity(df, (0.25, 0.5)), "propensity_score BETWEEN 0.25 AND 0.5"),
     "fil_07_by_region": (lambda df: filters.by_region(df, "EUROPE"), "region = 'EUROPE'"),
-    "fil_08_by_price": (lambda df: filters.by_price(df, (1000.0, 1100.0)), "price_inr BETWEEN 1000 AND 1100"),
+    "fil_08_by_price": (lambda df: filters.by_price(df, (905.0, 910.0)), "price_inr BETWEEN 905 AND 910"),
     "fil_09_by_gender": (lambda df: filters.by_gender(df, "FURNITURE"), "gender = 'FURNITURE'"),
     "fil_10_by_spending_level": (lambda df: filters.by_spending_level(df, "Medium Spender"), "spending_category = 'Medium Spender'"),
 }
