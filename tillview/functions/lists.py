@@ -16,7 +16,7 @@ def strip(column: Column) -> Column:
 def split_list(column: str | Column) -> Column:
     """Items of a comma list, trimmed, without empty ones. NULL gives an empty array."""
     col = F.col(column) if isinstance(column, str) else column
-    items = F.filter(F.transform(F.split(col, ","), strip), lambda item: item != "")
+    items = F.filter(F.split(strip(col), r"\s*,\s*"), lambda item: item != "")
     return F.coalesce(items, F.array().cast("array<string>"))
 
 

@@ -59,7 +59,9 @@ def quantile_edges(
         picks += [at(below).alias(f"_low{i}"), at(above).alias(f"_high{i}"),
                   F.max(exact - below).alias(f"_part{i}")]
         low, high, part = (F.col(f"_{x}{i}") for x in ("low", "high", "part"))
-        edges.append(low + (high - low) * part)
+        # Measured from the nearer end, so an edge that falls on a value is that value.
+        nearer_low = low + (high - low) * part
+        edges.append(F.when(part < 0.5, nearer_low).otherwise(high - (high - low) * (1 - part)))
     grouped = values.groupBy(*by) if by else values.groupBy()
     return grouped.agg(*picks).select(*by, F.array(*edges).alias("edges"))
 

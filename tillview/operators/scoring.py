@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillview.operators.binning import f_score, propensity_category, qcut
+from tillview.operators.binning import f_score, propensity_category, qcut, quantile_edges
 from tillview.schemas import has
 
 # Labels, score limits and weights that results depend on.
+R_LABELS = (4, 3, 2, 1)
+M_LABELS = (1, 2, 3, 4)
 SPENDING_LABELS = ("Low Spender", "Medium Spender", "High Spender")
 SEGMENTS = ((10, "Champions"), (8, "Loyal Customers"), (6, "Potential Loyalists"), (5, "At Risk"))
 LOWEST_SEGMENT = "Lost"
@@ -21,11 +23,11 @@ def fill_unknown(df: DataFrame) -> DataFrame:
 
 def r_score(rfm: DataFrame) -> DataFrame:
     """Quartile of Recency, 4 for the most recent."""
-    return qcut(rfm, "Recency", [4, 3, 2, 1], "R_Score")
+    return qcut(rfm, "Recency", list(R_LABELS), "R_Score")
 
 
 def m_score(rfm: DataFrame) -> DataFrame:
-    return qcut(rfm, "Monetary", [1, 2, 3, 4], "M_Score")
+    return qcut(rfm, "Monetary", list(M_LABELS), "M_Score")
 
 
 def rfm_segment(score: Column) -> Column:
@@ -36,8 +38,18 @@ def rfm_segment(score: Column) -> Column:
 
 
 def rfm_segments(rfm: DataFrame) -> DataFrame:
-    """R, F and M scores, their sum and the segment of each customer; NULL where any input is."""
-    scored = m_score(r_score(f_score(rfm)))
+    """R, F and M scores, their sum and the segment of each customer; NULL where any input is.
+
+    The quartiles of both values are found in one sorted pass over (measure, value) rows.
+    """
+    measured = rfm.selectExpr(
+        "stack(2, 'Recency', CAST(Recency AS double), 'Monetary', Monetary) AS (measure, value)"
+    )
+    edges = quantile_edges(measured, "value", [0.25, 0.5, 0.75], ["measure"])
+    days = edges.filter(F.col("measure") == "Recency").select("edges")
+    money = edges.filter(F.col("measure") == "Monetary").select("edges")
+    scored = qcut(f_score(rfm), "Recency", list(R_LABELS), "R_Score", days)
+    scored = qcut(scored, "Monetary", list(M_LABELS), "M_Score", money)
     total = F.col("R_Score") + F.col("F_Score") + F.col("M_Score")
     return scored.withColumn("RFM_Score", total).withColumn("Segment", rfm_segment(F.col("RFM_Score")))
 
