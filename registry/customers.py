@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from registry import tables as t
@@ -14,6 +17,9 @@ from tillview.operators import filters, ranking, scoring
 from tillview.plans import campaign
 from tillview.plans import customers as c
 
+# The stand-in text model travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WANTED = ["Small Ring #0", "red widget #1", "blue anvil #17"]
 WHOLE = " OR ".join(
     f"list_contains(string_split(lower(purchased_products_names), ', '), '{w.lower()}')" for w in WANTED

@@ -8,14 +8,20 @@ hands on only rows that got better.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillview.session import checkpointed
 
+# Task functions travel with the job, so executors need numpy and pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Similarities are compared with nine decimals, so that equal profiles tie and the lower id wins.
 DECIMALS = 9
 
