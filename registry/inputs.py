@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from registry import tables as t
 from registry.core import count, query
 from tillview.functions.dates import with_order_timestamp
-from tillview.operators import filters, joins
+from tillview.operators import joins
 from tillview.plans import insights
 from tillview.session import new_folder
 from tillview.sources import files, star
