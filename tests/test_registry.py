@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import check  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from registry.core import ORACLES, QUERIES  # noqa: E402
 
 QUICK = (
     "agg_08_top_customers_by_revenue", "agg_14_items_per_customer_histogram", "agg_15_repurchase_rate",
@@ -19,7 +20,7 @@ QUICK = (
     "bin_03_global_rank", "seg_02_rfm_segment", "fil_18_insights_filter", "src_01_read_transactions",
     "pre_07_customer_recs", "cmp_08_customer_profile", "agg_44_spend_box_by_propensity",
 )
-NAMES = tuple(queries()) if os.environ.get("TILLVIEW_ALL_QUERIES") else QUICK
+NAMES = tuple(QUERIES) if os.environ.get("TILLVIEW_ALL_QUERIES") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -37,4 +38,4 @@ def test_entry(spark):
 
 
 def test_every_query_but_two_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"cmp_03_offer_product", "cmp_07_campaign_sheet"}
+    assert set(QUERIES) - set(ORACLES) == {"cmp_03_offer_product", "cmp_07_campaign_sheet"}
