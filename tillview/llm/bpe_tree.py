@@ -198,20 +198,24 @@ def tree_coder(path: str) -> TreeCoder:
     return worker_value(f"tree:{path}", lambda: TreeCoder(path))
 
 
-def bpe_encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) of the whole text."""
+def bpe_encode(docs: DataFrame, text: str = "text", path: str | None = None, packed: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) of the whole text.
+
+    ``packed`` adds ``ids_packed``, the ids as little-endian unsigned 32-bit integers.
+    """
     path = path or vocabulary_path()
 
     def run(texts):
         import pyarrow as pa
 
         coder = tree_coder(path)
-        parts = [coder.encode(t).astype(np.int32) for t in texts.to_pylist()]
+        parts = [coder.encode(t.as_py()).astype("<u4") for t in texts]
         ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+        return [ids, [p.tobytes() for p in parts]] if packed else [ids]
 
-    return add_columns(docs, [text], {"ids": "array<int>"}, run)
+    return add_columns(docs, [text], {"ids": "array<int>"} | ({"ids_packed": "binary"} if packed else {}), run)
 
 
 def id_lists(column) -> list[np.ndarray]:
@@ -228,14 +232,3 @@ def bpe_decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) ->
         return [[coder.decode(row.tolist()) for row in id_lists(column)]]
 
     return add_columns(encoded, [ids], {"decoded": "string"}, run)
-
-
-def with_ids_digest(encoded: DataFrame, ids: str = "ids") -> DataFrame:
-    """``encoded`` with the SHA-256 of its ids as little-endian unsigned 32-bit integers."""
-
-    def run(column):
-        import hashlib
-
-        return [[hashlib.sha256(row.astype("<u4").tobytes()).hexdigest() for row in id_lists(column)]]
-
-    return add_columns(encoded, [ids], {"ids_sha256": "string"}, run)

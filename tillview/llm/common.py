@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 # A side is broadcast only if its measured size is below this; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
+# Rows that Python code handles at once.
+SLICE_ROWS = 1000
 
 
 def byte_words(text: str | None) -> list[bytes]:
@@ -48,7 +50,7 @@ def worker_value(name: str, make: Callable[[], object]) -> object:
 class WordHashes(dict):
     """64-bit hashes of words, looked up once per distinct word; emptied when it grows too large."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 18):
         import xxhash
 
         super().__init__()
@@ -155,8 +157,9 @@ def add_columns(df: DataFrame, read: list[str], add: dict[str, str], function: C
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(lo, SLICE_ROWS)
                 made = function(*[batch.column(c) for c in read])
                 new = [x if isinstance(x, pa.Array) else pa.array(x, arrow_type(k)) for x, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
@@ -168,8 +171,8 @@ def map_rows(df: DataFrame, schema: str, function: Callable) -> DataFrame:
     """``df.mapInArrow`` with a function from one batch to any number of column lists."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from function(batch)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                yield from function(whole.slice(lo, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)

@@ -16,6 +16,14 @@ from tillview.llm.common import worker_value
 VOCABULARY = "word_bpe_49k.json"
 # Stretches longer than this are not kept in the table of known ones.
 LONGEST_KNOWN = 64
+# Marks that a word may end in; together they are one pre-token. Not among them: the apostrophe, which can
+# start a contraction, and the sign that starts the name of an added token.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+# Letters before this one are in normal form by themselves and have one-to-one or plain lower case.
+PLAIN_BELOW = "\u0180"
+# Byte-level vocabularies write printable bytes as themselves and all others as letters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_UNITS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -27,7 +35,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class SubwordCoder(dict):
     """Ids by white-space-free stretch (UTF-8). Emptied when it grows too large."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 18):
         import regex
         from tokenizers import Tokenizer
 
@@ -38,10 +46,6 @@ class SubwordCoder(dict):
         self.most = most
         self.model = self.tokenizer.model
         self.parts: dict[str, tuple[int, ...]] = {}
-        # Lower-case ASCII letters with surrounding ASCII marks, where normalisation changes nothing
-        # but case and the pre-tokenizer can only cut between letters, digits and marks.
-        self.plain = regex.compile(rb"[A-Za-z]+|[^A-Za-z0-9'\x80-\xff\x00-\x20\x7f]+|[0-9]")
-        self.simple = regex.compile(rb"[!-&(-~]+")
         # Names of added tokens are one token each, wherever they stand in a raw text.
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
@@ -55,19 +59,24 @@ class SubwordCoder(dict):
         return ids
 
     def encode(self, stretch: bytes) -> tuple[int, ...]:
-        """Ids of one stretch. Plain ASCII skips the normaliser; the rest goes through all of it."""
-        if len(stretch) <= LONGEST_KNOWN and self.simple.fullmatch(stretch) and b"<|" not in stretch:
-            return tuple(chain.from_iterable(map(self.part, self.plain.findall(stretch.lower()))))
+        """Ids of one stretch. Latin letters with marks after them need no normaliser but lower case."""
         text = stretch.decode("utf-8", "replace")
+        if len(stretch) <= LONGEST_KNOWN:
+            low = text.lower()
+            word = low.rstrip(MARKS)
+            if word.isalpha() and max(word) < PLAIN_BELOW:
+                marks = low[len(word) :]
+                return self.part(word) + self.part(marks) if marks else self.part(word)
         return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def part(self, word: bytes) -> tuple[int, ...]:
-        name = word.decode()
-        ids = self.parts.get(name)
+    def part(self, word: str) -> tuple[int, ...]:
+        """Ids of one pre-token in its normal form."""
+        ids = self.parts.get(word)
         if ids is None:
             if len(self.parts) >= self.most:
                 self.parts.clear()
-            ids = self.parts[name] = tuple(t.id for t in self.model.tokenize(name))
+            units = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_UNITS)
+            ids = self.parts[word] = tuple(t.id for t in self.model.tokenize(units))
         return ids
 
     def ids(self, stretches: list[bytes]) -> np.ndarray:
