@@ -1,13 +1,14 @@
 """Near-duplicate documents: a Jaccard join on word shingles with filters under several token orders.
 
 Under any order of all shingles, two sets of similarity 0.8 share one of the first fifth of their
-shingles. The index is built under the first order, rarest shingles first, so passages that many
+shingles or so. The index is built under the first order, rarest shingles first, so passages that many
 documents share come last and do not make candidates. A candidate pair must also share a shingle in
 the first fifth under each of two further orders before its sets are compared exactly.
 
 How often a shingle occurs is counted over all documents in 2^18 cells that shingles are hashed to.
 Cells of frequent shingles stand out at any size of the input; a wrong guess makes an order less
-selective but never loses a link, because the filter holds for every order.
+selective but never loses a link, because the filter holds for every order. Prefixes are a little longer
+than needed, so that similar sets share several of their tokens and one shared line makes no candidate.
 
 Copies are one node. Links are looked for between nodes, and never among nodes that are already known
 to be connected; see ``links``.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tillview.llm.common import dropped, map_rows, mixed, semi_join, stored
 from tillview.llm.links import linked_groups
-from tillview.llm.shingles import prefix_length, set_name, signed, text_set
+from tillview.llm.shingles import batch_windows, prefix_length, set_name, signed, text_set
 
 CELL_BITS = 18
 SLAB = 4096
@@ -41,9 +42,9 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
 
         counts = np.zeros(cells, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                found = text_set(text.as_py()) >> np.uint64(64 - CELL_BITS)
-                np.add.at(counts, found.astype(np.int64), 1)
+            for lo in range(0, batch.num_rows, 200):
+                found = batch_windows(batch.column("text").slice(lo, 200).to_pylist()) >> np.uint64(64 - CELL_BITS)
+                counts += np.bincount(found.astype(np.int64), minlength=cells)
         slabs = counts.reshape(-1, SLAB).astype("<u4")
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(slabs)), pa.int32()), pa.array([s.tobytes() for s in slabs], pa.binary())],
@@ -132,8 +133,19 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return filtered.where(100 * common >= 80 * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def close_sizes(n_x, n_y):
-    return 5 * F.least(n_x, n_y) >= 4 * F.greatest(n_x, n_y)
+def behind_prefix(n):
+    """Tokens of a set of ``n`` that are not in its prefix; see ``prefix_length``."""
+    return F.floor((4 * n + 4) / 5) - F.greatest(F.lit(1), F.floor((n + 19) / 20))
+
+
+def can_be_similar(n_x, shared_x, n_y, shared_y):
+    """Whether sizes allow similarity 0.8, and so do the prefix tokens that each set shares at all.
+
+    A link needs 4/9 of both sizes together in common. All but the tokens behind one of the prefixes
+    must be among the shared ones of both.
+    """
+    needed = F.ceil(4 * (n_x + n_y) / 9) - F.greatest(behind_prefix(n_x), behind_prefix(n_y))
+    return (5 * F.least(n_x, n_y) >= 4 * F.greatest(n_x, n_y)) & (F.least(shared_x, shared_y) >= needed)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -147,14 +159,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     bucket = Window.partitionBy("bucket")
     shared = rows.withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket))
     shared = shared.where("low <> high").select("bucket", "node").distinct()
+    shared = stored(shared, "shared")
+    # Sets that share too few prefix tokens with all others together have no link at all.
     sizes = index.where("prefix is not null").select("node", "n").distinct()
-    buckets = stored(shared.join(sizes, "node").select("bucket", "node", "n"), "buckets")
+    counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "node")
+    counted = counted.where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.col("n") / 25)))
+    buckets = stored(shared.join(counted, "node").select("bucket", "node", "n", "shared"), "buckets")
 
     # Whole sets are made again for the documents that are in a bucket, one for each set.
     nodes = buckets.select("node").distinct()
     wanted = index.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     sets = stored(full_sets(semi_join(docs, wanted, ["doc_id"])), "sets")
-    groups = linked_groups(buckets, lambda pairs: similar_pairs(pairs, sets), close_sizes)
+    groups = linked_groups(buckets, lambda pairs: similar_pairs(pairs, sets), can_be_similar)
 
     # The smallest id of each set, then of each component, then back to every document.
     named = index.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
@@ -164,7 +180,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = stored(placed.join(least, "comp").select("node", "component_id"), "labels")
     full = index.where("n > 0").select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node")
     empty = index.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    dropped(buckets, sets, placed, groups)
+    dropped(shared, buckets, sets, placed, groups)
     return full.select("doc_id", "n_shingles", "component_id").union(empty)
 
 

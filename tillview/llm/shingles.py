@@ -25,12 +25,31 @@ def set_name(hashes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
 
 
+def extra_matches(n: int) -> int:
+    """How many tokens more than one similar sets must share in their prefixes; makes these longer."""
+    return max(1, (n + 19) // 20)
+
+
 def prefix_length(n: int) -> int:
-    """How many first tokens, in any order of all tokens, two sets of similarity 0.8 must share one of.
+    """How many first tokens, in any order of all tokens, are indexed of a set of ``n``.
 
-    The larger set has at least 0.8 n tokens in common with the other, so at most 0.2 n can come first.
+    Two sets of similarity 0.8 have at least ``ceil(0.8 n)`` tokens in common, where n is the size of
+    either. Of the set whose prefix ends first in the order, ``ceil(0.8 n) - extra_matches(n)`` tokens lie
+    behind the prefix, so the prefixes share at least ``extra_matches(n)``.
     """
-    return n - (4 * n + 4) // 5 + 1 if n else 0
+    return n - (4 * n + 4) // 5 + extra_matches(n) if n else 0
+
+
+def batch_windows(texts) -> np.ndarray:
+    """Hashes of all shingles of many texts, repeats included; texts of fewer words have none."""
+    known = word_hashes()
+    lists = [known.of(folded_words(text)) for text in texts]
+    lists = [x for x in lists if len(x) >= WIDTH]
+    if not lists:
+        return np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    windows = window_hashes(np.concatenate(lists), WIDTH)
+    return windows[owner[WIDTH - 1 :] == owner[: len(owner) - WIDTH + 1]]
 
 
 def signed(hashes: np.ndarray) -> np.ndarray:
