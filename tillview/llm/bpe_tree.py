@@ -65,7 +65,7 @@ class TreeCoder:
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
         stretches = byte_words(text)
-        if all(len(s) <= self.leaf for s in stretches):
+        if max(map(len, stretches), default=0) <= self.leaf:
             return self.words.ids(stretches)
         ids: list[int] = []
         for stretch in stretches:

@@ -170,7 +170,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = buckets.select("node").distinct()
     wanted = index.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     sets = stored(full_sets(semi_join(docs, wanted, ["doc_id"])), "sets")
-    groups = linked_groups(buckets, lambda pairs: similar_pairs(pairs, sets), can_be_similar)
+    groups = linked_groups(buckets, lambda pairs: similar_pairs(pairs, sets), can_be_similar, "shared")
 
     # The smallest id of each set, then of each component, then back to every document.
     named = index.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))

@@ -1,9 +1,9 @@
 """From shared buckets to connected groups without listing all pairs of a bucket.
 
 ``linked_groups`` takes rows (bucket, node): two nodes may be linked if they share a bucket. In the
-first round every node meets one representative of each of its buckets, the same one wherever
+first rounds every node meets one representative of each of its buckets, the same one wherever
 possible. Nodes that are thereby known to be connected need no further comparison with each other.
-In the second round each bucket that still holds several components compares its nodes across
+In the last round each bucket that still holds several components compares its nodes across
 components, the nodes of its largest component never among themselves. The components are those of
 all links: a pair is left out only if both ends are already known to be connected.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tillview.llm.common import dropped, stored
 
+# Rounds with representatives before all remaining pairs are compared.
+STARS = 2
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -60,48 +62,68 @@ def with_component(rows: DataFrame, comps: DataFrame, node: str = "node") -> Dat
     return joined.withColumn("comp", F.coalesce("comp", F.col(node)))
 
 
-def linked_groups(buckets: DataFrame, verify: Verify, near: Callable | None = None) -> DataFrame:
+def distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """One of all buckets that hold the same nodes; the others would only repeat its pairs."""
+    held = buckets.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+    )
+    chosen = held.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return buckets.join(chosen, "bucket", "left_semi")
+
+
+def linked_groups(
+    buckets: DataFrame, verify: Verify, near: Callable | None = None, central: str | None = None
+) -> DataFrame:
     """(node, comp) for all nodes that have a verified link.
 
-    ``buckets``: (bucket, node, *extra), read several times, so pass a stored table in which every
-    bucket has at least two nodes. ``near(extra of a, extra of b)`` is a cheap necessary condition on
-    the extra columns. ``verify`` takes distinct pairs (a, b) with a < b and returns the links.
+    ``buckets``: (bucket, node, *extra), read several times, so pass a stored table. ``near(extra of a,
+    extra of b)`` is a cheap necessary condition on the extra columns. ``verify`` takes distinct pairs
+    (a, b) with a < b and returns the links. ``central`` names an extra column that is large for nodes
+    likely to be linked to many others; these are the first representatives.
     """
     extra = [c for c in buckets.columns if c not in ("bucket", "node")]
-    side = lambda df, s: df.select("bucket", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in extra])
-
-    def pairs(joined: DataFrame) -> DataFrame:
+    buckets = stored(distinct_buckets(buckets), "buckets")
+    placed = buckets.withColumn("comp", F.col("node"))
+    links = tested = comps = None
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select("bucket", *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "comp", *extra)])
+
+    for turn in range(STARS + 1):
+        # Buckets with nodes of two or more components; the largest component of each.
+        sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+        several = sizes.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")
+        ).where("comps > 1").select("bucket", "main")
+        open_rows = stored(placed.join(several, "bucket"), "open")
+        if open_rows.isEmpty():
+            break
+        if turn == STARS:
+            x, y = side(open_rows.where("comp <> main"), "x"), side(open_rows, "y")
+        else:
+            # The same representative wherever it is in the bucket, another one in each round.
+            order = F.xxhash64(F.lit(turn), "node") if turn or not central else F.struct(central, "node")
+            heads = open_rows.groupBy("bucket").agg(F.max_by(F.struct("node", "comp", *extra), order).alias("h"))
+            x, y = side(open_rows, "x"), side(heads.select("bucket", "h.*"), "y")
+        joined = x.join(y, "bucket").where("comp_x <> comp_y")
         if near is not None:
             joined = joined.where(near(*[joined[f"{c}_{s}"] for s in "xy" for c in extra]))
-        return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    heads = buckets.groupBy("bucket").agg(
-        F.min("node").alias("y"), *[F.min_by(c, "node").alias(f"{c}_y") for c in extra]
-    )
-    star = stored(pairs(side(buckets, "x").join(heads, "bucket").where("x <> y")), "pairs")
-    first = stored(verify(star).select("a", "b"), "links")
-    comps = stored(components(first), "components")
-
-    # What is left: buckets with nodes of two or more components.
-    placed = stored(with_component(buckets, comps), "placed")
-    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")
-    ).where("comps > 1").select("bucket", "main")
-    open_rows = placed.join(mixed, "bucket")
-    x = open_rows.where("comp <> main").select(
-        "bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), *[F.col(c).alias(f"{c}_x") for c in extra]
-    )
-    y = open_rows.select(
-        "bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), *[F.col(c).alias(f"{c}_y") for c in extra]
-    )
-    more = pairs(x.join(y, "bucket").where("cx <> cy"))
-    rest = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
-    second = stored(verify(rest).select("a", "b"), "links")
-    if second.isEmpty():
-        result = comps
-    else:
-        result = stored(components(first.union(second)), "components")
-        dropped(comps)
-    dropped(star, rest, placed, first, second)
-    return result
+        pairs = joined.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        dropped(open_rows)
+        if pairs.isEmpty():
+            continue
+        found = stored(verify(pairs).select("a", "b"), "links")
+        tested = pairs if tested is None else tested.union(pairs)
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.union(found)
+        comps = stored(components(links), "components")
+        placed = stored(with_component(buckets, comps), "placed")
+    if comps is None:
+        return buckets.select("node", F.col("node").alias("comp")).limit(0)
+    dropped(buckets)
+    return comps

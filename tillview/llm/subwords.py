@@ -73,7 +73,7 @@ class SubwordCoder(dict):
         """Ids of one pre-token in its normal form."""
         ids = self.parts.get(word)
         if ids is None:
-            if len(self.parts) >= self.most:
+            if len(self.parts) >= 2 * self.most:
                 self.parts.clear()
             units = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_UNITS)
             ids = self.parts[word] = tuple(t.id for t in self.model.tokenize(units))
