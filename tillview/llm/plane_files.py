@@ -34,8 +34,7 @@ PIECES = "doc_id long, part int, first long, n_tokens long, offset long, ids bin
 def to_planes(ids: np.ndarray, bits: int, compressor) -> tuple[bytes, list[int]]:
     """Compressed planes of ``ids``, lowest bit first, and the end of each."""
     wide = ids.astype("<u2" if bits <= 16 else "<u4")
-    matrix = np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")[:, :bits]
-    planes = np.packbits(np.ascontiguousarray(matrix.T), axis=1, bitorder="little")
+    planes = (np.packbits(((wide >> b) & 1).astype(np.uint8), bitorder="little") for b in range(bits))
     frames = [compressor.compress(plane.tobytes()) for plane in planes]
     return b"".join(frames), np.cumsum([len(f) for f in frames]).tolist()
 
@@ -43,12 +42,11 @@ def to_planes(ids: np.ndarray, bits: int, compressor) -> tuple[bytes, list[int]]
 def from_planes(data: bytes, ends: list[int], count: int, decompressor) -> np.ndarray:
     """The ids back from the planes of a chunk."""
     size = (count + 7) // 8
-    matrix = np.zeros((16 if len(ends) <= 16 else 32, size), dtype=np.uint8)
+    ids = np.zeros(count, dtype="<u2" if len(ends) <= 16 else "<u4")
     for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-        matrix[k] = np.frombuffer(decompressor.decompress(data[a:b], max_output_size=size), dtype=np.uint8)
-    flags = np.unpackbits(matrix, axis=1, count=count, bitorder="little")
-    packed = np.packbits(np.ascontiguousarray(flags.T), axis=1, bitorder="little")
-    return packed.view("<u2" if len(ends) <= 16 else "<u4").reshape(-1).astype(np.uint32)
+        plane = np.frombuffer(decompressor.decompress(data[a:b], max_output_size=size), dtype=np.uint8)
+        ids |= np.unpackbits(plane, count=count, bitorder="little").astype(ids.dtype) << ids.dtype.type(k)
+    return ids.astype(np.uint32)
 
 
 def chunk_rows(documents, part: int, chunk_ids: int, bits: int):
@@ -153,10 +151,10 @@ def read_plane_files(spark: SparkSession, folder: str) -> DataFrame:
     crossing = found.where(~whole).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
     documents = found.where(whole).select(*key, "ids").union(crossing.select(*key, joined.alias("ids")))
-    # One row per written part; their sizes add up to where each part starts.
+    # One row per written part, far fewer than rows of any task; their sizes add up to where each starts.
     sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return documents.join(starts, "part").select(
+    return documents.join(F.broadcast(starts), "part").select(
         "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids"
     )
