@@ -130,3 +130,12 @@ def test_lookups(spark):
     assert rows(filters.customer_by_name(df, "a")) == [(1, "a", "f")]
     assert filters.customer_by_id(df, 2).first()["gender"] == "m"
     assert filters.customer_by_id(df, 5).first() is None
+
+
+def test_paging_through_nulls_gives_each_row_once(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, None), (4, 7.0), (5, None)], "customer_id long, total_spent double")
+    seen, last = [], (float("inf"), 0)
+    while page := ranking.page_after(df, *last, size=2).collect():
+        seen += [r["customer_id"] for r in page]
+        last = (page[-1]["total_spent"], page[-1]["customer_id"])
+    assert seen == [4, 1, 2, 3, 5]

@@ -79,12 +79,18 @@ def page(
 
 
 def page_after(
-    df: DataFrame, last_value: float, last_tie: int, size: int = 10, by: str = "total_spent",
+    df: DataFrame, last_value: float | None, last_tie: int, size: int = 10, by: str = "total_spent",
     tie: str = "customer_id",
 ) -> DataFrame:
-    """The page that follows a known last row: a pushed-down range, equally cheap at any depth."""
+    """The page that follows a known last row: a pushed-down range, equally cheap at any depth.
+
+    NULLs come last; a ``last_value`` of None says that the last row was one of them.
+    """
     value, key = F.col(by), F.col(tie)
-    later = (value < last_value) | ((value == last_value) & (key > last_tie)) | value.isNull()
+    if last_value is None:
+        later = value.isNull() & (key > last_tie)
+    else:
+        later = (value < last_value) | ((value == last_value) & (key > last_tie)) | value.isNull()
     return df.filter(later).orderBy(F.desc_nulls_last(by), F.asc(tie)).limit(size)
 
 
