@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillview.llm.common import dropped, stored
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b); ``comp`` is the smallest node reachable.
 
     Alternates hooking every neighbour to the smallest one around a node and halving the way to it,
-    so rounds grow with the logarithm of the longest path. Each round is written out.
+    so rounds grow with the logarithm of the longest path. Each round is one job, which writes its edges
+    out and takes their fingerprint on the way.
     """
     both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     current = stored(both.where("a <> b").distinct(), "edges")
@@ -34,19 +35,18 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: neighbours above a node move to the smallest of its neighbourhood.
         sym = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stored(sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lowest")
+        low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # Small star: a node and its smaller neighbours move to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        after = stored(small, "edges")
         # Order-free fingerprint of the edge set; it settles when every node points at its root.
-        now = after.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")
-        ).first()
-        dropped(current, low)
+        seen = Observation()
+        after = stored(small.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "edges")
+        now = seen.get
+        dropped(current)
         current = after
         if now == signature:
             break
