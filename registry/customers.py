@@ -110,7 +110,7 @@ def _(spark, sf):
 @query("srt_04_deep_page", """SELECT *, row_number() OVER (ORDER BY total_spent DESC NULLS LAST, transaction_id) AS number
   FROM t_orders QUALIFY number BETWEEN 12001 AND 13000""", "t_orders")
 def _(spark, sf):
-    return ranking.page(t.orders(spark, sf), 13, 1000, tie="transaction_id")
+    return ranking.page_by_rank(t.orders(spark, sf), 13, 1000, tie="transaction_id")
 
 
 @query("srt_04_page_after", "SELECT * FROM t_recs WHERE total_spent < 2000000 ORDER BY total_spent DESC, customer_id LIMIT 10", "t_recs")

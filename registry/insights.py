@@ -96,11 +96,16 @@ def _(spark, sf):
     return filters.insights_filter(t.base(spark, sf), **FILTERS)
 
 
-@query("fil_18_insights_filter_defaults", "SELECT * FROM t_base WHERE propensity_score BETWEEN 0 AND 1 AND price_inr IS NOT NULL AND Recency <= 365 AND Frequency >= 0 ORDER BY propensity_score DESC, customer_id, product LIMIT 100", "t_base")
+@query("fil_18_insights_filter_defaults", "SELECT * FROM t_base WHERE propensity_score BETWEEN 0 AND 1 AND price_inr IS NOT NULL AND Frequency >= 0 ORDER BY propensity_score DESC, customer_id, product LIMIT 100", "t_base")
 def _(spark, sf):
     return filters.insights_filter(t.base(spark, sf))
 
 
+@query("fil_18_insights_filter_recent", "SELECT * FROM t_base WHERE propensity_score BETWEEN 0 AND 1 AND price_inr IS NOT NULL AND Recency <= 365 AND Frequency >= 0 ORDER BY propensity_score DESC, customer_id, product LIMIT 100", "t_base")
+def _(spark, sf):
+    return filters.insights_filter(t.base(spark, sf), max_recency=365)
+
+
 @query("fil_20_priority_tier", f"SELECT customer_id, product, {TIER} AS tier FROM t_base", "t_base")
 def _(spark, sf):
     return scoring.priority_tier(t.base(spark, sf)).select("customer_id", "product", "tier")
@@ -234,7 +239,7 @@ def _(spark, sf):
 
 
 PROFILE = " UNION ALL ".join(f"SELECT '{label(s, '_spend')}' AS category, {money_avg(s)} AS avg_spend FROM t_base" for s in SPEND)
-SHARES = " UNION ALL ".join(f"SELECT '{label(p, '_pct')}' AS category, {score_avg(p)} AS avg_pct FROM t_base" for p in PCT[:10])
+SHARES = [f"SELECT '{label(p, '_pct')}' AS category, {score_avg(p)} AS avg_pct FROM t_base" for p in PCT]
 
 
 @query("agg_34_category_spend_profile", f"SELECT * FROM ({PROFILE}) ORDER BY avg_spend DESC, category LIMIT 10", "t_base")
@@ -242,11 +247,16 @@ def _(spark, sf):
     return i.category_spend_profile(t.base(spark, sf))
 
 
-@query("agg_35_category_pct_profile", f"SELECT * FROM ({SHARES}) WHERE avg_pct > 0", "t_base")
+@query("agg_35_category_pct_profile", f"SELECT * FROM ({' UNION ALL '.join(SHARES)}) WHERE avg_pct > 0 ORDER BY avg_pct DESC, category LIMIT 10", "t_base")
 def _(spark, sf):
     return i.category_pct_profile(t.base(spark, sf))
 
 
+@query("agg_35_first_share_columns", f"SELECT * FROM ({' UNION ALL '.join(SHARES[:10])}) WHERE avg_pct > 0", "t_base")
+def _(spark, sf):
+    return i.category_pct_profile(t.base(spark, sf), first=10)
+
+
 def items(column: str) -> str:
     return f"CASE WHEN {column} IS NULL THEN 0 ELSE length({column}) - length(replace({column}, ',', '')) + 1 END"
 

@@ -96,11 +96,10 @@ def test_pages(spark, total, number, want):
     assert [r[2] for r in got] == want and [r[0] for r in got] == [n - 1 for n in want]
 
 
-def test_deep_page_equals_shallow(spark, monkeypatch):
+def test_page_by_rank_equals_page(spark):
     df = spark.range(200).selectExpr("id AS customer_id", "double(id % 9) AS total_spent")
     shallow = rows(ranking.page(df, 7).orderBy("number"))
-    monkeypatch.setattr(ranking, "DEEP_PAGE", 5)
-    assert rows(ranking.page(df, 7).orderBy("number")) == shallow
+    assert rows(ranking.page_by_rank(df, 7).orderBy("number")) == shallow
     last = shallow[-1]
     following = ranking.page_after(df, last[1], last[0])
     assert [r[0] for r in rows(following)] == [r[0] for r in rows(ranking.page(df, 8).orderBy("number"))]
@@ -117,12 +116,13 @@ def test_filters_without_arguments_keep_rows(spark):
     assert filters.by_similarity(df, (0, 1)).count() == 1
 
 
-def test_default_recency_drops_unknown(spark):
+def test_recency_is_cut_only_on_demand(spark):
     df = spark.createDataFrame(
         [(1, 0.5, 10.0, 5), (2, 0.5, 10.0, None), (3, 0.5, 10.0, 400), (4, None, 10.0, 5), (5, 0.5, None, 5)],
         "customer_id long, propensity_score double, price_inr double, Recency int",
     ).selectExpr("*", "'p' AS product")
-    assert [r["customer_id"] for r in filters.insights_filter(df).collect()] == [1]
+    assert {r["customer_id"] for r in filters.insights_filter(df).collect()} == {1, 2, 3}
+    assert [r["customer_id"] for r in filters.insights_filter(df, max_recency=365).collect()] == [1]
 
 
 def test_lookups(spark):

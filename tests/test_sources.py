@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import types as T
 
 from tillview.schemas import REQUIRED, has, is_empty, validate_inputs
-from tillview.sources import files
+from tillview.sources import files, star
 
 
 def written(tmp_path, text):
@@ -42,6 +42,24 @@ def test_text_in_a_number_column_raises(spark, tmp_path):
         files.read_rfm(spark, path).collect()
 
 
+def test_other_column_order_in_one_folder_raises(spark, tmp_path):
+    folder = tmp_path / "rfm"
+    folder.mkdir()
+    (folder / "a.csv").write_text("customer_id,Recency,Frequency,Monetary\n1,2,10,3\n")
+    (folder / "b.csv").write_text("customer_id,Frequency,Recency,Monetary\n2,10,2,3\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_rfm(spark, str(folder)).collect()
+
+
+def test_unlisted_category_raises(spark):
+    bought = spark.sql("SELECT 1L AS customer_id, 'tea' AS product, 'food' AS category, CAST(3 AS DECIMAL(18, 4)) AS amount")
+    with pytest.raises(Exception, match="unlisted category: food"):
+        star.category_features(bought, ["toys"]).collect()
+    row = star.category_features(bought, ["food", "toys"]).first()
+    assert row["food_pct"] + row["toys_pct"] == 1
+    assert star.top_category(star.category_features(bought, ["food", "toys"]), ["food", "toys"]).first()["top_category"] == "food"
+
+
 def test_bundled_catalog_layout(spark, tmp_path):
     path = written(tmp_path, "category,product,price_inr\nElectronics,Smartphone (mid-range),29999\n")
     assert rows(files.read_catalog(spark, path)) == [("Electronics", "Smartphone (mid-range)", 29999.0)]
@@ -50,8 +68,8 @@ def test_bundled_catalog_layout(spark, tmp_path):
 def test_parquet_by_month_prunes(spark, tmp_path):
     df = spark.sql("SELECT 1L AS transaction_id, 2L AS customer_id, 3D AS total_spent, "
                    "TIMESTAMP_NTZ '2024-02-03 00:00:00' AS order_date")
-    path = files.write_parquet(df, str(tmp_path / "t.parquet"), partition_month=True)
-    back = files.read_transactions(spark, path)
+    path = files.write_parquet(df, str(tmp_path / "t"), partition_month=True)
+    back = files.read_transactions(spark, path, format="parquet")
     assert back.filter("order_month = '2024-02'").count() == 1
     assert back.filter("order_month = '2024-03'").count() == 0
 

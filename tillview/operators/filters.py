@@ -100,11 +100,14 @@ def insights_filter(
     price: Range | None = None,
     gender: str | None = None,
     spending: str | None = None,
-    max_recency: int | None = 365,
+    max_recency: int | None = None,
     min_frequency: int | None = 0,
     top_n: int | None = 100,
 ) -> DataFrame:
-    """All insights filters, then the ``top_n`` rows by propensity (all of them if ``None``)."""
+    """All insights filters, then the ``top_n`` rows by propensity (all of them if ``None``).
+
+    No customer is dropped for a long absence unless ``max_recency`` is given.
+    """
     kept = by_product(by_category(df, category), product)
     kept = by_price(by_region(by_propensity(kept, propensity), region), price)
     kept = by_spending_level(by_gender(kept, gender), spending)

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tillview.session import checkpointed
 
-# Pages that end beyond this row are cut out by rank and not by a top-k of that size.
-DEEP_PAGE = 10_000
-
 
 def sorted_positions(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """``df`` sorted, with ``_part`` (number of the sort partition) and ``_at`` (row within it).
@@ -59,25 +56,37 @@ def page_count(total: int, size: int = 10) -> int:
     return max(1, -(-total // size))
 
 
+def _page_start(df: DataFrame, number: int, size: int, total: int | None) -> int:
+    rows = df.count() if total is None else total
+    return (min(max(1, number), page_count(rows, size)) - 1) * size
+
+
 def page(
     df: DataFrame, number: int, size: int = 10, by: str = "total_spent", tie: str = "customer_id",
     total: int | None = None,
 ) -> DataFrame:
     """Page ``number`` (from 1) of the rows by descending ``by``, with their running ``number``.
 
-    A page beyond the last shows the last. Pass ``total`` to save the count.
+    A page beyond the last shows the last. Pass ``total`` to save the count. All rows before the page
+    go through one top-k, so far into a large table use ``page_by_rank`` or ``page_after``.
     """
-    rows = df.count() if total is None else total
-    start = (min(max(1, number), page_count(rows, size)) - 1) * size
+    start = _page_start(df, number, size, total)
     order = [F.desc_nulls_last(by), F.asc(tie)]
-    if start + size > DEEP_PAGE:
-        ranked = global_rank(df, order, "number")
-        return ranked.filter(F.col("number").between(start + 1, start + size))
     rows_of_page = df.orderBy(*order).offset(start).limit(size)
     # At most one page of rows reaches this window.
     return rows_of_page.withColumn("number", F.row_number().over(Window.orderBy(*order)) + F.lit(start).cast("long"))
 
 
+def page_by_rank(
+    df: DataFrame, number: int, size: int = 10, by: str = "total_spent", tie: str = "customer_id",
+    total: int | None = None,
+) -> DataFrame:
+    """The same rows as ``page``, cut out by their rank: one distributed sort, whatever the depth."""
+    start = _page_start(df, number, size, total)
+    ranked = global_rank(df, [F.desc_nulls_last(by), F.asc(tie)], "number")
+    return ranked.filter(F.col("number").between(start + 1, start + size))
+
+
 def page_after(
     df: DataFrame, last_value: float | None, last_tie: int, size: int = 10, by: str = "total_spent",
     tie: str = "customer_id",

@@ -170,11 +170,11 @@ def category_spend_profile(df: DataFrame, k: int = 10) -> DataFrame:
     return top_k(averages, "avg_spend", k, ["category"])
 
 
-def category_pct_profile(df: DataFrame, first: int = 10) -> DataFrame:
-    """Average share of the first ten share columns in table order, positive ones only."""
+def category_pct_profile(df: DataFrame, k: int = 10, first: int | None = None) -> DataFrame:
+    """The ``k`` highest average shares, positive ones only; of the ``first`` share columns if given."""
     columns = columns_by_suffix(df, PCT_SUFFIX)[:first]
     averages = column_averages(df, columns, PCT_SUFFIX, score_avg, "avg_pct")
-    return averages.filter(F.col("avg_pct") > 0).orderBy(F.desc("avg_pct"), "category")
+    return top_k(averages.filter(F.col("avg_pct") > 0), "avg_pct", k, ["category"])
 
 
 def _cart_items(df: DataFrame, column: str) -> Column:

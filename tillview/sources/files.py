@@ -21,16 +21,20 @@ def read_table(
     path: str,
     date_format: str | None = None,
     types: Mapping[str, T.DataType] | None = None,
+    format: str = "csv",
 ) -> DataFrame:
-    """Read one logical table: parquet if ``path`` ends so, else CSV with a header.
+    """Read one logical table: CSV with a header, or parquet if ``format`` says so.
 
     The header line is read first, so optional and per-category columns get their declared types
     without schema inference over the data; ``types`` overrides some, such as text customer ids.
-    Text that does not fit its type, dates included, raises.
+    Text that does not fit its type, dates included, raises, and so does a file of the folder whose
+    header differs from the first one's.
     """
-    if path.rstrip("/").endswith(".parquet"):
+    if format == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.options(**CSV_OPTIONS)
+    if format != "csv":
+        raise ValueError(f"unknown format {format!r}")
+    reader = spark.read.options(**CSV_OPTIONS).option("enforceSchema", "false")
     schema = struct_for(table, reader.csv(path).columns, {"order_date": T.StringType(), **(types or {})})
     return with_order_timestamp(reader.schema(schema).option("mode", "FAILFAST").csv(path), date_format)
 

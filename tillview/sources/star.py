@@ -159,8 +159,12 @@ def category_features(bought: DataFrame, categories: Sequence[str] = CATEGORIES)
     """Spend per customer and category as one wide row, with the share of the row total.
 
     Money is added up per customer and category first; the wide step then only places doubles.
+    A category that is not in ``categories`` raises, as shares of the total would leave it out.
     """
-    spend = bought.groupBy("customer_id", "category").agg(F.sum("amount").alias("_amount"))
+    known = F.col("category").isNull() | F.col("category").isin(*categories)
+    unlisted = F.raise_error(F.concat(F.lit("unlisted category: "), "category")).cast("string")
+    listed = F.when(known, F.col("category")).otherwise(unlisted)
+    spend = bought.withColumn("category", listed).groupBy("customer_id", "category").agg(F.sum("amount").alias("_amount"))
     placed = [
         F.expr(f"coalesce(max(CAST(_amount AS double)) FILTER (WHERE category = '{c}'), 0D) "
                f"AS `{c}{SPEND_SUFFIX}`")
@@ -191,8 +195,8 @@ def spend_norm(categories: Sequence[str] = CATEGORIES) -> Column:
     return F.sqrt(F.aggregate(spend_array(categories), F.lit(0.0), lambda total, x: total + x * x))
 
 
-def top_category(features: DataFrame) -> DataFrame:
-    return features.select("customer_id", ranked_categories()[0].alias("top_category"))
+def top_category(features: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    return features.select("customer_id", ranked_categories(categories)[0].alias("top_category"))
 
 
 def _list_of(wanted: Column) -> Column:
@@ -209,7 +213,9 @@ def latest_order(transactions: DataFrame) -> DataFrame:
     )
 
 
-def carts(lines: DataFrame, orders: DataFrame, features: DataFrame) -> DataFrame:
+def carts(
+    lines: DataFrame, orders: DataFrame, features: DataFrame, categories: Sequence[str] = CATEGORIES
+) -> DataFrame:
     """Open lines of each customer's latest order, split by the customer's top category.
 
     Only the open lines of latest orders are kept, and each product once, before lists are built.
@@ -221,7 +227,7 @@ def carts(lines: DataFrame, orders: DataFrame, features: DataFrame) -> DataFrame
         .select("customer_id", "product", "category")
         .distinct()
     )
-    top = top_category(features)
+    top = top_category(features, categories)
     same = F.col("category") == F.col("top_category")
     return (
         open_items.join(top, "customer_id")
@@ -313,7 +319,9 @@ def customer_matches(
     )
 
 
-def recommended_items(matches: DataFrame, bought: DataFrame, features: DataFrame) -> DataFrame:
+def recommended_items(
+    matches: DataFrame, bought: DataFrame, features: DataFrame, categories: Sequence[str] = CATEGORIES
+) -> DataFrame:
     """The matched customer's products the customer has not bought, one row each.
 
     ``same`` tells whether the product is of the customer's own top category. A customer many
@@ -321,7 +329,7 @@ def recommended_items(matches: DataFrame, bought: DataFrame, features: DataFrame
     """
     pairs = bought.select("customer_id", "product", "category")
     theirs = pairs.withColumnRenamed("customer_id", "Matched_Customer_ID")
-    top = top_category(features)
+    top = top_category(features, categories)
     offered = matches.join(top, "customer_id").join(theirs, "Matched_Customer_ID")
     new = offered.join(pairs, ["customer_id", "product"], "left_anti")
     return new.select(
