@@ -228,7 +228,16 @@ def _(spark, sf):
     return replies.select("customer_id", campaign.parse_persona(F.col("reply")).alias("persona"))
 
 
-@query("cmp_03_offer_product")
+def drawn(column: str) -> str:
+    items = f"string_split({column}, ', ')"
+    draw = "CAST('0x' || substr(md5(concat_ws(':', CAST(customer_id AS VARCHAR), '0')), 1, 15) AS BIGINT)"
+    return f"{items}[CAST({draw} % len({items}) AS INTEGER) + 1]"
+
+
+OFFERS = f"SELECT customer_id, name, coalesce({', '.join(drawn(column) for column in c.PREDICTED)}) AS product FROM t_recs"
+
+
+@query("cmp_03_offer_product", OFFERS, "t_recs")
 def _(spark, sf):
     return campaign.offer_product(t.recs(spark, sf))
 
@@ -258,6 +267,6 @@ def _(spark, sf):
     return campaign.batch_text_model(prompts, shout).select("product", "reply")
 
 
-@query("cmp_07_campaign_sheet")
+@query("cmp_07_campaign_sheet", f"SELECT *, upper(product) || '!' AS offer FROM ({OFFERS}) WHERE product IS NOT NULL", "t_recs")
 def _(spark, sf):
     return campaign.campaign_sheet(t.recs(spark, sf), shout)

@@ -55,7 +55,9 @@ def offer_product(base: DataFrame, seed: int = 0) -> DataFrame:
 
     The pick is spread by a hash of customer and seed, so a rerun picks the same.
     """
-    draw = F.xxhash64("customer_id", F.lit(seed))
+    # 60 bits of a hash that any SQL engine has, so that a sheet can be checked elsewhere.
+    digest = F.md5(F.concat_ws(":", F.col("customer_id").cast("string"), F.lit(str(seed))))
+    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
     def pick(column: str) -> Column:
         items = split_list(column)
