@@ -95,6 +95,22 @@ def test_bands_reject_repeats_and_noise():
     assert rows["n_words"][3:] == [0, 0]
 
 
+def test_bands_reject_short_noise_and_noisy_tails():
+    import base64
+
+    draw = random.Random(9)
+    parts = "the of and in re er on th an en es st ion ing at or nd ti it is as".split()
+    clean = " ".join("".join(draw.choices(parts, range(22, 1, -1), k=draw.choice([1, 1, 2, 2, 3]))) for _ in range(4000))
+    spaced = lambda s: " ".join(s[i : i + 12] for i in range(0, len(s), 12))
+    noise = spaced(base64.b64encode(draw.randbytes(9000)).decode())
+    digits = spaced(draw.randbytes(9000).hex())
+    texts = [noise[k : k + n] for k, n in enumerate((150, 400, 900, 3000))] + [clean[:4096] + noise[:3000], digits]
+    whole = [clean[:n] for n in (150, 400, 900, 3000, 7096, 9000)]
+    rows = dict(zip(quality_bands.ADDED, quality_bands.measured(texts + whole), strict=True))
+    assert rows["kept"] == [False] * 6 + [True] * 6
+    assert rows["n_chunks"][4] == 2 and rows["n_chunks_out"][4] == 1
+
+
 def test_prefixes_of_similar_sets_share_tokens():
     draw = np.random.default_rng(6)
     for _ in range(300):
