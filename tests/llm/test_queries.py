@@ -69,6 +69,20 @@ def test_paragraphs(docs):
     assert all(r.kept == (r.doc_id == 1) for r in rows if r.kept_doc_id == 1)
 
 
+def test_passages_of_short_lines(spark):
+    draw = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 9999, n))
+    lines = lambda *sizes: "\n".join(words(n) for n in sizes)
+    passages = [lines(*[6] * 10), lines(12, 3, 12, 3, 12, 3, 12), lines(*[2] * 30)]
+    rows = [(10 * k + n, f"{words(20 + 9 * n)}\n{p}\n{words(31 - 7 * n)}") for k, p in enumerate(passages) for n in (1, 2)]
+    found = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = defaultdict(int)
+    for r in found:
+        covered[r.doc_id] += r.n_words
+        assert r.kept_doc_id == r.doc_id // 10 * 10 + 1 and r.kept == (r.doc_id % 10 == 1)
+    assert sorted(covered) == [1, 2, 11, 12, 21, 22] and min(covered.values()) >= 40
+
+
 def test_encoding_and_files(spark, docs, tmp_path):
     library = subword_coder(vocabulary_path()).tokenizer
     rows = bpe_tree.bpe_decode(bpe_tree.bpe_encode(docs, packed=True)).collect()

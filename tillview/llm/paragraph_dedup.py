@@ -1,16 +1,16 @@
 """Repeated passages: paragraphs with colliding MinHash bands, verified and clustered.
 
-A paragraph is a line. Longer lines are cut further, after the sentence whose last two words have the
-smallest hash around: where a cut falls depends only on the words near it, so a passage is cut alike
-wherever it stands. Bands are tuned from the similarity looked for: the fewest bands of the given rows whose
+A text is cut into paragraphs at ends of lines and sentences: where the words around have the smallest hash
+of all within four words. Where a cut falls depends only on the words near it, so a passage is cut alike
+wherever it stands, and short lines are joined to paragraphs of five words or more. Bands are tuned from the similarity looked for: the fewest bands of the given rows whose
 chance to miss a pair at that similarity is below one in fifty. Paragraphs that share a band are
 compared exactly (Jaccard similarity of 5-word shingles) and connected groups are formed.
 
 Reported, and marked for removal but for the first, are paragraphs of groups with two or more members,
 if the run of such paragraphs in their document is long enough to be a passage and not a phrase.
 
-Defined cases: null and empty texts have no paragraph; paragraphs under ``LEAST_WORDS`` words take no
-part; rows with equal ids count as one document; a document that repeats its own passage has it
+Defined cases: null and empty texts have no paragraph; the first and the last paragraph of a
+text take no part if they have fewer than ``LEAST_WORDS`` words; rows with equal ids count as one document; a document that repeats its own passage has it
 reported, too; other columns are not read.
 """
 
@@ -29,11 +29,10 @@ from tillview.llm.shingles import WIDTH, set_name, signed
 SIMILARITY = 0.8
 RECALL = 0.98
 BAND_ROWS = 2
-# Lines up to this many words are not cut.
-LINE_WORDS = 24
-LEAST_WORDS = 8
-# A cut has the smallest hash among the possible ones this many words around it.
-CUT_REACH = 7
+LEAST_WORDS = WIDTH
+# A cut has the smallest hash among the possible ones this many words around it, so that every paragraph
+# between two cuts has a shingle.
+CUT_REACH = WIDTH - 1
 # A reported run of repeated paragraphs has at least so many words.
 RUN_WORDS = 16
 ENDS = (b".", b"!", b"?")
@@ -44,34 +43,31 @@ def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: in
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def cuts(words: list[bytes], hashes: np.ndarray) -> list[int]:
-    """Word numbers before which a long line is cut."""
+def cuts(words: list[bytes], hashes: np.ndarray, lines: np.ndarray) -> list[int]:
+    """Word numbers before which a text is cut; ``lines`` marks words that start a line."""
+    if len(words) < 2:
+        return []
     pairs = mixed(hashes[:-1] + mixed(hashes[1:]))
-    ends = np.fromiter((w.endswith(ENDS) for w in words[1:]), dtype=bool, count=len(words) - 1)
+    ends = np.fromiter((w.endswith(ENDS) for w in words[:-1]), dtype=bool, count=len(words) - 1) | lines[1:]
     marks = np.where(ends | (pairs & np.uint64(63) == 1), pairs, np.uint64(2**64 - 1))
     padded = np.pad(marks, CUT_REACH, constant_values=np.uint64(2**64 - 1))
-    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * CUT_REACH + 1).min(axis=1)
-    chosen = np.flatnonzero((marks == least) & (marks != np.uint64(2**64 - 1))) + 2
-    return [k for k in chosen.tolist() if k < len(words)]
+    least = np.lib.stride_tricks.sliding_window_view(padded, CUT_REACH).min(axis=1)
+    n = len(marks)
+    # Of equal hashes the first is the cut, so that repeated words are not cut everywhere.
+    chosen = (marks < least[:n]) & (marks <= least[CUT_REACH + 1 :][:n])
+    return (np.flatnonzero(chosen) + 1).tolist()
 
 
 def paragraphs(text: str | None) -> list[tuple[int, list[bytes]]]:
     """(number of the first word, words) of every paragraph with words."""
-    found, at = [], 0
-    known = word_hashes()
-    for line in (text or "").split("\n"):
-        words = folded_words(line)
-        n = len(words)
-        if n > LINE_WORDS:
-            start = 0
-            for end in cuts(words, known.of(words)):
-                found.append((at + start, words[start:end]))
-                start = end
-            found.append((at + start, words[start:]))
-        elif n:
-            found.append((at, words))
-        at += n
-    return found
+    lists = [folded_words(line) for line in (text or "").split("\n")]
+    words = [w for line in lists for w in line]
+    if not words:
+        return []
+    lines = np.zeros(len(words) + 1, dtype=bool)
+    lines[np.cumsum([len(line) for line in lists])] = True
+    edges = [0, *cuts(words, word_hashes().of(words), lines[:-1]), len(words)]
+    return [(a, words[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def shingle_rows(word_lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
