@@ -134,6 +134,22 @@ def test_paragraph_cuts_depend_on_near_words_only():
     assert paragraph_dedup.tuned_bands(0.8, 0.98, 2) == 4
 
 
+def test_unpunctuated_passages_are_cut_alike():
+    draw = random.Random(13)
+    make = lambda n: ["w%d" % draw.randint(0, 999) for _ in range(n)]
+    found = 0
+    for _ in range(200):
+        passage = make(50)
+        cut = [paragraph_dedup.paragraphs(" ".join(make(n) + passage + make(40))) for n in (30, 41)]
+        assert all(len(w) <= paragraph_dedup.MOST_WORDS for part in cut for _, w in part)
+        assert all(len(w) >= paragraph_dedup.LEAST_WORDS for part in cut for _, w in part[1:-1])
+        both = {tuple(w) for _, w in cut[0]} & {tuple(w) for _, w in cut[1]}
+        found += sum(len(w) for w in both) >= paragraph_dedup.RUN_WORDS
+    assert found >= 194
+    assert max(len(w) for _, w in paragraph_dedup.paragraphs("ab " * 500)) <= paragraph_dedup.MOST_WORDS
+    assert paragraph_dedup.paragraphs("one two three four five.\" one two three four five six seven")[0][1][-1] == b'five."'
+
+
 def test_attention_gradients_and_windows():
     draw = np.random.default_rng(0)
     model = attention_lm.Attention.fresh(np.zeros(attention_lm.CLASSES))

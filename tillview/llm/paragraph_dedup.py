@@ -1,8 +1,9 @@
 """Repeated passages: paragraphs with colliding MinHash bands, verified and clustered.
 
-A text is cut into paragraphs at ends of lines and sentences: where the words around have the smallest hash
-of all within four words. Where a cut falls depends only on the words near it, so a passage is cut alike
-wherever it stands, and short lines are joined to paragraphs of five words or more. Bands are tuned from the similarity looked for: the fewest bands of the given rows whose
+A text is cut into paragraphs where the two words at a place have the smallest hash of all places within four
+words; ends of lines and sentences come before all other places. Where a cut falls depends only on the words
+near it, so a passage is cut alike wherever it stands, and short lines are joined to paragraphs of five words
+or more. Paragraphs have at most ``MOST_WORDS`` words. Bands are tuned from the similarity looked for: the fewest bands of the given rows whose
 chance to miss a pair at that similarity is below one in fifty. Paragraphs that share a band are
 compared exactly (Jaccard similarity of 5-word shingles) and connected groups are formed.
 
@@ -35,7 +36,11 @@ LEAST_WORDS = WIDTH
 CUT_REACH = WIDTH - 1
 # A reported run of repeated paragraphs has at least so many words.
 RUN_WORDS = 16
-ENDS = (b".", b"!", b"?")
+# A longer stretch without a cut is cut again.
+MOST_WORDS = 24
+ENDS = (b".", b"!", b"?", "。".encode(), "！".encode(), "？".encode())
+# Quotes and brackets that may follow the end of a sentence.
+CLOSING = "\"')]”’»」』".encode()
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -48,14 +53,24 @@ def cuts(words: list[bytes], hashes: np.ndarray, lines: np.ndarray) -> list[int]
     if len(words) < 2:
         return []
     pairs = mixed(hashes[:-1] + mixed(hashes[1:]))
-    ends = np.fromiter((w.endswith(ENDS) for w in words[:-1]), dtype=bool, count=len(words) - 1) | lines[1:]
-    marks = np.where(ends | (pairs & np.uint64(63) == 1), pairs, np.uint64(2**64 - 1))
+    ends = np.fromiter((w.endswith(ENDS) or w.rstrip(CLOSING).endswith(ENDS) for w in words[:-1]), dtype=bool, count=len(words) - 1) | lines[1:]
+    # Every place between two words may be a cut; ends of lines and sentences come before all others.
+    marks = (pairs >> np.uint64(2)) + np.where(ends, np.uint64(0), np.uint64(1 << 62))
     padded = np.pad(marks, CUT_REACH, constant_values=np.uint64(2**64 - 1))
     least = np.lib.stride_tricks.sliding_window_view(padded, CUT_REACH).min(axis=1)
     n = len(marks)
     # Of equal hashes the first is the cut, so that repeated words are not cut everywhere.
     chosen = (marks < least[:n]) & (marks <= least[CUT_REACH + 1 :][:n])
-    return (np.flatnonzero(chosen) + 1).tolist()
+    found, start = [], 0
+    for end in [*(np.flatnonzero(chosen) + 1).tolist(), len(words)]:
+        # Stretches without a cut are rare but for words that repeat.
+        while end - start > MOST_WORDS:
+            start += LEAST_WORDS + int(marks[start + LEAST_WORDS - 1 : start + MOST_WORDS - LEAST_WORDS].argmin())
+            found.append(start)
+        if end < len(words):
+            found.append(end)
+        start = end
+    return found
 
 
 def paragraphs(text: str | None) -> list[tuple[int, list[bytes]]]:
