@@ -149,6 +149,17 @@ def test_scores(docs):
     assert {r.n_tokens for r in rows if r.doc_id in (4, 5)} == {1}
 
 
+def test_training_reads_every_token(spark):
+    draw = np.random.default_rng(2)
+    sizes = [0, 1, 31, 32, 33, 64, *draw.integers(0, 400, 60).tolist()]
+    texts = [(" ".join(f"w{x}" for x in draw.integers(0, 999, n)),) for n in sizes] + [(None,)]
+    windows = attention_lm.training_windows(spark.createDataFrame(texts, "text string"), vocabulary_path()).collect()
+    # Every window starts with the token before it, and every text ends with the end mark.
+    assert sum(len(r["keys"]) - 1 for r in windows) == sum(sizes) + len(texts)
+    assert sum(k == attention_lm.END_KEY for r in windows for k in r["keys"][1:]) == len(texts)
+    assert {r["turn"] for r in windows} == set(range(attention_lm.ROUNDS))
+
+
 def test_top_inner_products(spark):
     draw = np.random.default_rng(3)
     vectors = [(i, draw.normal(0, 1 + i % 7, 8).round(1).tolist()) for i in range(400)] + [(7, None), (8, [1.0, None]), (None, [1.0] * 8)]
