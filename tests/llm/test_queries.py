@@ -63,6 +63,56 @@ def test_lines(docs):
     assert rows[4].text is None and rows[4].n_lines == 0 and rows[6].text == "a b" and rows[6].n_words == "mine"
 
 
+def line_variants(draw, kinds, lines=150):
+    """(line, variant, kind): lines of 8 to 30 words, each with an edited copy of edit similarity 0.8 or more."""
+    letters = list("etaoinshrdlucmfw")
+    word = lambda: "".join(draw.choice(letters, draw.integers(2, 10)))
+    for n in range(lines):
+        words = [word() for _ in range(draw.integers(8, 31))]
+        line, kind = " ".join(words), kinds[n % len(kinds)]
+        other, edits = list(words), int(0.2 * len(line))
+        if kind == "word":
+            other[draw.integers(len(words))] = word()
+        elif kind == "typos":
+            text = list(line)
+            for _ in range(max(1, len(words) // 8)):
+                text[draw.integers(len(text))] = "x"
+            other = "".join(text).split()
+        else:
+            # As many words in a row changed as the distance allows.
+            at = draw.integers(len(words))
+            for k in range(at, len(words)):
+                edits -= len(words[k])
+                if edits < 0:
+                    break
+                other[k] = "".join(draw.choice(letters, len(words[k])))
+        yield line, " ".join(other), kind
+
+
+def edit_distance(x: str, y: str) -> int:
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_recall_of_similar_lines(spark):
+    pairs = list(line_variants(np.random.default_rng(21), ("word", "typos", "many")))
+    pairs = [p for p in pairs if p[0] != p[1] and edit_distance(p[0], p[1]) <= 0.2 * max(len(p[0]), len(p[1]))]
+    rows = [(2 * n + k, p[k]) for n, p in enumerate(pairs) for k in (0, 1)]
+    rows = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = {r.doc_id for r in rows if r.text == ""}
+    found = defaultdict(list)
+    for n, (_, _, kind) in enumerate(pairs):
+        found[kind].append(2 * n + 1 in gone)
+    assert len(pairs) >= 120 and not any(n % 2 == 0 for n in gone)
+    recall = {kind: sum(hits) / len(hits) for kind, hits in found.items()}
+    print("recall", {kind: (sum(hits), len(hits)) for kind, hits in found.items()})
+    assert min(recall.values()) >= 0.95, recall
+
+
 def test_paragraphs(docs):
     rows = paragraph_dedup.repeated_paragraphs(docs).collect()
     assert {r.doc_id for r in rows} == {1, 2, 3, 8}
