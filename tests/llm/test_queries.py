@@ -63,6 +63,13 @@ def test_lines(docs):
     assert rows[4].text is None and rows[4].n_lines == 0 and rows[6].text == "a b" and rows[6].n_words == "mine"
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    rows = [(1, "Read more\n---\n日本語の文章は空白で区切られていません。\n\n***"), (2, "x y\nread  More!\n\n---\n日本語の文章は空白で区切られていません")]
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].n_dropped == 0 and found[1].text == rows[0][1]
+    assert found[2].text == "x y\n" and found[2].n_dropped == 3 and found[2].n_lines == 5
+
+
 def line_variants(draw, kinds, lines=150):
     """(line, variant, kind): lines of 8 to 30 words, each with an edited copy of edit similarity 0.8 or more."""
     letters = list("etaoinshrdlucmfw")
