@@ -1,9 +1,10 @@
-"""Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
+"""Mixing sources to target weights in a drawn order, in DataFrame functions only.
 
 Every source gets a target of words. A document of a source with ``target = 2.3 * size`` is taken
 twice for certain and a third time with probability 0.3: each document draws a uniform number, its
 odds are divided by the odds of its inclusion probability, and documents are taken in the order of
-this ratio until the target is met. Sizes differ, so "fixed size" is meant in words: a document that
+this ratio until the target is met. That is the form of Pareto order sampling, but all documents of a
+source have the same inclusion probability, so within a source the order is plainly random. Sizes differ, so "fixed size" is meant in words: a document that
 would overshoot is passed over for smaller ones further on, and the last one taken is the one that
 leaves the source nearest to its target.
 
