@@ -144,10 +144,11 @@ def arrow_type(name: str):
     return pa.list_(getattr(pa, ARROW[inner])()) if inner != name else getattr(pa, ARROW[name])()
 
 
-def add_columns(df: DataFrame, read: list[str], add: dict[str, str], function: Callable) -> DataFrame:
+def add_columns(df: DataFrame, read: list[str], add: dict[str, str], function: Callable, start: Callable[[], object] | None = None) -> DataFrame:
     """``df`` with columns computed batch by batch in Python; all other columns pass through.
 
     ``function`` takes the columns ``read`` as Arrow arrays and returns one sequence per added column.
+    With ``start`` it takes what ``start`` returned first: made when a task begins, gone when it ends.
     """
     df = without(df, *add)
     added = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in add.items()))
@@ -157,10 +158,11 @@ def add_columns(df: DataFrame, read: list[str], add: dict[str, str], function: C
     def run(batches):
         import pyarrow as pa
 
+        state = [start()] if start else []
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(lo, SLICE_ROWS)
-                made = function(*[batch.column(c) for c in read])
+                made = function(*state, *[batch.column(c) for c in read])
                 new = [x if isinstance(x, pa.Array) else pa.array(x, arrow_type(k)) for x, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 

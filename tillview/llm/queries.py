@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillview.llm import attention_lm, bpe_tree, inner_top_k, jaccard_join, line_dedup, mixing, paragraph_dedup, plane_files, quality_bands, token_counts
+from tillview.llm import (
+    attention_lm, bpe_tree, inner_top_k, jaccard_join, line_crf, line_dedup, mixing, paragraph_dedup, plane_files, quality_bands,
+    token_alignment, token_counts, whitening,
+)
 from tillview.llm.common import stored, table
 from tillview.session import new_folder
 
@@ -110,3 +113,29 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 @query
 def op8_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
     return attention_lm.score_documents(table(spark, folder, "documents"))
+
+
+@query
+def op11_qdwh_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    axes = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")))
+    return axes.select(
+        "vec_id", (F.col("pos") + 1).cast("int").alias("component"), "n", "deviation", F.col("col.whitened").alias("whitened"),
+        F.col("col.explained").alias("explained"), "identity_error",
+    )
+
+
+@query
+def op12_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = line_crf.document_quality(docs, table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_lines")
+
+
+@query
+def op13_anchor_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = token_alignment.align_tokens(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    scored = token_alignment.link_scores(aligned, stored(token_alignment.pair_counts(aligned), "counts"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
