@@ -52,6 +52,11 @@ def _(spark, sf):
     return star.customer_matches(t.features(spark, sf))
 
 
+@query("pre_07_exact_matches", "SELECT * FROM t_exact_matches", "t_exact_matches")
+def exact_matches(spark, sf):
+    return star.customer_matches(t.features(spark, sf), exact=True)
+
+
 @query("pre_07_customer_recs", "SELECT * FROM t_recs", "t_recs")
 def _(spark, sf):
     return t.recs(spark, sf)

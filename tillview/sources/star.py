@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillview.functions.lists import joined
 from tillview.functions.numbers import MONEY, money_sum
 from tillview.operators.matching import best_matches
+from tillview.operators.neighbours import projected_matches
 from tillview.schemas import PCT_SUFFIX, SPEND_SUFFIX
 
 # The anchor date recency is counted to, and the 25 categories of the star schema.
@@ -291,14 +292,8 @@ def predictions(
     )
 
 
-def customer_matches(
-    features: DataFrame, depth: int = 1, categories: Sequence[str] = CATEGORIES
-) -> DataFrame:
-    """Most similar other customer among those with the same ``depth`` top categories.
-
-    Similarity is the cosine of category spend, to nine decimals; the lower id wins a tie. A
-    higher ``depth`` makes blocks smaller and the search cheaper.
-    """
+def profiles(features: DataFrame, depth: int = 1, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """Unit spend vectors for matching; a block holds customers with the same ``depth`` top categories."""
     unit = F.transform("spend", lambda s: F.coalesce(F.try_divide(s, F.col("norm")), F.lit(0.0)))
     ranked = features.select(
         F.col("customer_id").alias("id"),
@@ -306,13 +301,26 @@ def customer_matches(
         spend_array(categories).alias("spend"),
         spend_norm(categories).alias("norm"),
     )
-    vectors = ranked.select(
+    return ranked.select(
         "id",
         F.array_join(F.slice("ranked", 1, depth), "|").alias("block"),
         F.array_join(F.slice("ranked", 1, 3), "|").alias("near"),
         unit.alias("vector"),
     )
-    return best_matches(vectors, len(categories)).select(
+
+
+def customer_matches(
+    features: DataFrame, depth: int = 1, categories: Sequence[str] = CATEGORIES, exact: bool = False
+) -> DataFrame:
+    """Most similar other customer among those with the same ``depth`` top categories.
+
+    Similarity is the cosine of category spend, to nine decimals; the lower id wins a tie. The match
+    is the best of the neighbours along fixed lines (``projected_matches``), whose work grows with the
+    number of customers. ``exact`` compares all customers of a block, whose work grows with its square.
+    """
+    vectors = profiles(features, depth, categories)
+    search = best_matches if exact else projected_matches
+    return search(vectors, len(categories)).select(
         F.col("id").alias("customer_id"),
         F.col("match").alias("Matched_Customer_ID"),
         F.col("similarity").alias("Similarity_Score"),
