@@ -11,8 +11,9 @@ from registry import tables as t
 from registry.core import count, money_avg, money_sum, query
 from registry.tables import SPEND
 from tillview.functions.dates import date_parts
-from tillview.operators import binning, filters, ranking, scoring
+from tillview.operators import binning, filters, ranking, scoring, sketches
 from tillview.plans import business as b
+from tillview.session import new_folder
 
 LOW, HIGH = date(1996, 1, 1), date(1998, 12, 31)
 IN_RANGE = f"order_date BETWEEN TIMESTAMP '{LOW}' AND TIMESTAMP '{HIGH}'"
@@ -311,3 +312,42 @@ def _(spark, sf):
 @query("prj_10_rfm_points", f"SELECT customer_id, Recency, Frequency, Monetary, Segment FROM ({SEGMENTS})", "t_rfm")
 def _(spark, sf):
     return b.rfm_points(t.rfm(spark, sf))
+
+
+# -- mergeable sketches ---------------------------------------------------------------------
+
+def beside_exact(spark, sf, by: list[str], low: date | None = None, high: date | None = None) -> DataFrame:
+    """Exact customers beside what stored day sketches say: whether that is within the error bound."""
+    path = new_folder(spark, "sketches")
+    sketches.customer_sketches(t.orders(spark, sf)).write.parquet(path)
+    stored = sketches.sketch_filter(spark.read.parquet(path), low, high)
+    said = sketches.estimated_customers(stored, by).withColumnsRenamed({"customers": "_said", "n_orders": "orders"})
+    orders = filters.by_date_range(t.orders(spark, sf), low, high, end_inclusive_day=True)
+    exact = orders.groupBy(*by).agg(F.countDistinct("customer_id").alias("customers"))
+    # Without keys there is one row on either side.
+    both = said.withColumn("_all", F.lit(0)).join(exact.withColumn("_all", F.lit(0)), [*by, "_all"])
+    near = F.abs(F.col("_said") - F.col("customers")) <= F.ceil(sketches.error_bound() * F.col("customers"))
+    return both.select(*by, "customers", "orders", "revenue", near.alias("within_bound"))
+
+
+def exact_sql(by: str, where: str = "TRUE") -> str:
+    keys, grouped = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    return (
+        f"SELECT {keys}{count('DISTINCT customer_id')} AS customers, {count()} AS orders, {money_sum('total_spent')} AS revenue, "
+        f"TRUE AS within_bound FROM t_orders WHERE {where}{grouped}"
+    )
+
+
+@query("agg_01_sketched_customers", exact_sql(""), "t_orders")
+def _(spark, sf):
+    return beside_exact(spark, sf, [])
+
+
+@query("agg_01_sketched_by_region", exact_sql("region", IN_RANGE), "t_orders")
+def _(spark, sf):
+    return beside_exact(spark, sf, ["region"], LOW, HIGH)
+
+
+@query("agg_09_sketched_by_gender", exact_sql("gender", IN_RANGE), "t_orders")
+def _(spark, sf):
+    return beside_exact(spark, sf, ["gender"], LOW, HIGH)

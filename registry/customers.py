@@ -13,9 +13,10 @@ from registry.business import label
 from registry.core import query
 from registry.tables import SPEND
 from tillview.functions import lists, numbers
-from tillview.operators import filters, ranking, scoring
-from tillview.plans import campaign
+from tillview.operators import filters, postings, ranking, scoring
+from tillview.plans import campaign, model_job
 from tillview.plans import customers as c
+from tillview.session import new_folder
 
 # The stand-in text model travels with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,6 +62,21 @@ for _name, (_filter, _where) in RECS_FILTERS.items():
         return keep(t.recs(spark, sf))
 
 
+def index_of(spark, sf):
+    recs = t.recs(spark, sf)
+    return recs, postings.read_postings(spark, postings.write_postings(recs, new_folder(spark, "postings")))
+
+
+@query("fil_15_bought_any_of_indexed", f"SELECT * FROM t_recs WHERE {WHOLE}", "t_recs")
+def _(spark, sf):
+    return postings.bought_any_of_indexed(*index_of(spark, sf), WANTED)
+
+
+@query("ded_04_indexed_vocabulary", "SELECT DISTINCT product FROM t_pairs", "t_pairs")
+def _(spark, sf):
+    return postings.indexed_vocabulary(index_of(spark, sf)[1])
+
+
 @query("str_05_contains_ci", f"SELECT customer_id, coalesce({FOUND}, false) AS found FROM t_recs", "t_recs")
 def _(spark, sf):
     found = lists.contains_any(c.PURCHASED, PATTERNS, "regex")
@@ -270,3 +286,24 @@ def _(spark, sf):
 @query("cmp_07_campaign_sheet", f"SELECT *, upper(product) || '!' AS offer FROM ({OFFERS}) WHERE product IS NOT NULL", "t_recs")
 def _(spark, sf):
     return campaign.campaign_sheet(t.recs(spark, sf), shout)
+
+
+def persona_of(prompts: pd.Series) -> pd.Series:
+    """A stand-in text model: a persona by the frequency in the prompt."""
+    replies = ["I would say: LOYAL customers!", "both at risk and Champions", "no idea", "big spenders\nhibernating"]
+    return prompts.str.extract(r"Frequency=(\d+)", expand=False).astype(int).map(lambda n: replies[n % 4])
+
+
+@query("cmp_06_resumed_personas", """SELECT customer_id, CASE Frequency % 4 WHEN 0 THEN 'Loyal Customers' WHEN 1 THEN 'Champions'
+  WHEN 2 THEN 'Unclassified' ELSE 'Big Spenders' END AS persona FROM t_rfm""", "t_rfm")
+def _(spark, sf):
+    base, store = t.rfm(spark, sf).withColumn("total_spent", F.col("Monetary")), new_folder(spark, "replies")
+    # A first run over some customers, then one over all, which asks for the others only.
+    model_job.resumed_personas(base.where("customer_id % 3 = 0"), persona_of, store)
+    return model_job.resumed_personas(base, persona_of, store)
+
+
+@query("cmp_06_model_personas", """SELECT customer_id, CASE Frequency % 4 WHEN 0 THEN 'Loyal Customers' WHEN 1 THEN 'Champions'
+  WHEN 2 THEN 'Unclassified' ELSE 'Big Spenders' END AS persona FROM t_rfm""", "t_rfm")
+def _(spark, sf):
+    return campaign.personas(t.rfm(spark, sf).withColumn("total_spent", F.col("Monetary")), persona_of)

@@ -10,7 +10,8 @@ from registry.core import count, query
 from tillview.functions.dates import with_order_timestamp
 from tillview.operators import joins
 from tillview.plans import insights
-from tillview.session import new_folder
+from tillview.schemas import input_report, is_empty
+from tillview.session import TableCache, new_folder
 from tillview.sources import files, star
 
 PURCHASES = """SELECT customer_id, product, category, CAST(amount AS DOUBLE) AS amount, price_inr
@@ -119,6 +120,68 @@ def _(spark, sf):
     return with_order_timestamp(text, "yyyy/MM/dd HH:mm:ss.SSSSSS")
 
 
+def damaged_rfm(spark: SparkSession, sf: str) -> str:
+    """The RFM table as CSV in which some values are missing words, some no numbers, some whole with a point."""
+    customer, text = F.col("customer_id"), {c: F.col(c).cast("string") for c in ("Recency", "Frequency")}
+    rows = t.rfm(spark, sf).select(
+        F.when(customer % 50 == 3, "").otherwise(customer.cast("string")).alias("customer_id"),
+        F.when(customer % 10 == 1, "NA").when(customer % 10 == 2, "soon").otherwise(text["Recency"]).alias("Recency"),
+        F.when(customer % 15 == 2, "many").otherwise(F.concat(text["Frequency"], F.lit(".0"))).alias("Frequency"),
+        F.when(customer % 10 == 4, "nan").otherwise(F.col("Monetary").cast("string")).alias("Monetary"),
+    )
+    return _as_csv(spark, rows, "damaged")
+
+
+@query("src_04_read_rfm_with_rejects", """SELECT customer_id, CASE WHEN customer_id % 10 = 1 THEN NULL ELSE Recency END AS Recency,
+  Frequency, CASE WHEN customer_id % 10 = 4 THEN NULL ELSE Monetary END AS Monetary FROM t_rfm
+  WHERE customer_id % 50 <> 3 AND customer_id % 10 <> 2 AND customer_id % 15 <> 2""", "t_rfm")
+def _(spark, sf):
+    return files.read_with_rejects(spark, "rfm", damaged_rfm(spark, sf)).rows
+
+
+@query("src_04_rejects_by_reason", """SELECT concat_ws('; ', CASE WHEN customer_id % 10 = 2 THEN 'Recency is no int' END,
+  CASE WHEN customer_id % 15 = 2 THEN 'Frequency is no bigint' END, CASE WHEN customer_id % 50 = 3 THEN 'customer_id is missing' END)
+  AS reason, CAST(count(*) AS BIGINT) AS n_rows FROM t_rfm
+  WHERE customer_id % 50 = 3 OR customer_id % 10 = 2 OR customer_id % 15 = 2 GROUP BY 1""", "t_rfm")
+def _(spark, sf):
+    counts = files.read_with_rejects(spark, "rfm", damaged_rfm(spark, sf)).reject_counts()
+    return counts.groupBy("reason").agg(F.sum("n_rows").alias("n_rows"))
+
+
+REPORTED = {
+    "transactions": "t_transactions", "purchases": "t_lines", "catalog": "t_catalog", "rfm": "t_rfm", "category_features": "t_features",
+}
+
+
+@query("src_09_input_report", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", CAST(count(*) AS BIGINT) AS n_rows, count(*) = 0 AS is_empty, "
+    f"'{'price_inr' if name == 'catalog' else ''}' AS missing FROM {view}" for name, view in REPORTED.items()
+), " ".join(REPORTED.values()))
+def _(spark, sf):
+    tables = {
+        "transactions": star.transactions(spark, sf), "purchases": t.lines(spark, sf), "rfm": t.rfm(spark, sf),
+        "category_features": t.features(spark, sf), "catalog": t.catalog(spark, sf).drop("price_inr"),
+    }
+    return input_report(tables)
+
+
+@query("src_11_is_empty", """SELECT gender, count(*) FILTER (order_date > TIMESTAMP '2000-01-01') = 0 AS is_empty FROM t_orders
+  WHERE gender IS NOT NULL GROUP BY 1""", "t_orders")
+def _(spark, sf):
+    orders = t.orders(spark, sf)
+    # One check per filter choice, of which there are few, as the page makes them.
+    genders = [r[0] for r in orders.select("gender").where("gender IS NOT NULL").distinct().orderBy("gender").collect()]
+    late = orders.where("order_date > TIMESTAMP_NTZ '2000-01-01'")
+    return spark.createDataFrame([(g, is_empty(late.where(F.col("gender") == g))) for g in genders], "gender string, is_empty boolean")
+
+
+@query("cac_01_loaded_once", "SELECT *, CAST(2 AS INTEGER) AS loads FROM t_rfm", "t_rfm")
+def _(spark, sf):
+    cache, path = TableCache(), _as_csv(spark, t.rfm(spark, sf), "rfm")
+    first, second = (cache.load(files.read_rfm, spark, path) for _ in range(2))
+    return second.withColumn("loads", F.lit(2 if first is second else 0))
+
+
 @query("src_10_optional_columns", """SELECT avg_value, avg_recency, avg_frequency FROM (
   SELECT CAST(sum(CAST(total_spent AS DECIMAL(18,4))) AS DOUBLE) / count(total_spent) AS avg_value,
   CAST(NULL AS DOUBLE) AS avg_recency, CAST(sum(total_transactions) AS DOUBLE)

@@ -13,7 +13,7 @@ from tillview.functions.numbers import money_avg, money_sum
 from tillview.operators.binning import histogram
 from tillview.operators.ranking import top_k
 from tillview.operators.scoring import rfm_segments
-from tillview.schemas import SPEND_SUFFIX, columns_by_suffix, has
+from tillview.schemas import SPEND_SUFFIX, columns_by_suffix, has, validate_inputs
 
 
 # -- KPIs -----------------------------------------------------------------------------------
@@ -202,8 +202,11 @@ def business_page(
 ) -> dict[str, DataFrame]:
     """All tables of the page. Only ``orders`` is meant to be filtered; persist it beforehand.
 
-    Reports whose optional columns are absent are left out.
+    Reports whose optional columns are absent are left out; an absent required one raises first.
     """
+    validate_inputs({
+        "transactions": orders, "purchases": purchases, "category_features": features, "rfm": rfm, "catalog": catalog,
+    })
     page = {
         "overview": business_overview(orders),
         "total_products": total_products(catalog),

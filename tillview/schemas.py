@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG, INT, DOUBLE, TEXT, TIME = (
@@ -108,3 +109,17 @@ def validate_inputs(tables: Mapping[str, DataFrame | None]) -> None:
             problems.append(f"{name}: no column {', '.join(missing)}")
     if problems:
         raise ValueError("unusable inputs: " + "; ".join(problems))
+
+
+def input_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per table: its name, rows, whether it is empty, and absent required columns as a comma list."""
+    rows = None
+    for name, df in tables.items():
+        missing = ", ".join(c for c in REQUIRED[name] if c not in df.columns)
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table"), "n_rows", (F.col("n_rows") == 0).alias("is_empty"), F.lit(missing).alias("missing")
+        )
+        rows = row if rows is None else rows.unionAll(row)
+    if rows is None:
+        raise ValueError("no tables given")
+    return rows

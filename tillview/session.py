@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -67,3 +67,44 @@ def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
         yield kept
     finally:
         kept.unpersist()
+
+
+class TableCache:
+    """Loaded tables, kept while their files stay the same.
+
+    A table is known by reader, path and options. Every load compares the names, sizes and times of the
+    files; a change drops the kept table and reads anew. Losing kept blocks costs time, not results.
+    """
+
+    def __init__(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+        self.level = level
+        self._kept: dict[tuple, tuple[tuple, DataFrame]] = {}
+
+    @staticmethod
+    def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+        """Number, total size and hash of the files below ``path``; no content is read."""
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        seen = files.select("path", "length", "modificationTime")
+        # One row reaches the driver, however many files there are.
+        row = seen.selectExpr(
+            "count(*) AS n", "coalesce(sum(length), 0) AS size", "coalesce(bit_xor(xxhash64(path, length, modificationTime)), 0) AS hash"
+        ).first()
+        return row["n"], row["size"], row["hash"]
+
+    def load(self, reader: Callable[..., DataFrame], spark: SparkSession, path: str, **options) -> DataFrame:
+        """What ``reader(spark, path, **options)`` returns, read once for the same files."""
+        key = (reader.__module__, reader.__qualname__, path, tuple(sorted((k, repr(v)) for k, v in options.items())))
+        now = self.fingerprint(spark, path)
+        if key in self._kept:
+            then, table = self._kept[key]
+            if then == now:
+                return table
+            table.unpersist()
+        table = reader(spark, path, **options).persist(self.level)
+        self._kept[key] = now, table
+        return table
+
+    def clear(self) -> None:
+        for _, table in self._kept.values():
+            table.unpersist()
+        self._kept.clear()
