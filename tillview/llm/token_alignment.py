@@ -18,6 +18,7 @@ replaced.
 from __future__ import annotations
 
 import json
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,7 +63,10 @@ class ByteLevel:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for data, n in ranks.items():
             self.bytes[n] = data
-        self.encode = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.coding = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.coding.encode_to_numpy(text, disallowed_special=())
 
 
 class Pieces:
@@ -77,7 +81,10 @@ class Pieces:
             bytes([int(name[3:5], 16)]) if model.is_byte(n) else name.replace("▁", " ").encode()
             for n, name in enumerate(names)
         ]
-        self.encode = model.encode
+        self.model = model
+
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
 class Side:
@@ -88,12 +95,17 @@ class Side:
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.spaced = np.array([b.startswith(b" ") for b in self.bytes])
 
-    def read(self, text: str, data: bytes) -> np.ndarray | None:
-        """Ids of a text, if they spell ``data``."""
-        ids = self.encode(text)
-        if b"".join(map(self.bytes.__getitem__, ids)) != data:
-            return None
-        return np.array(ids, dtype=np.uint32)
+        # The bytes of all tokens in one row, and where each begins.
+        self.pool = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.places = np.cumsum(self.sizes) - self.sizes
+
+    def spells(self, ids: np.ndarray, data: bytes) -> bool:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids) or ends[-1] != len(data):
+            return False
+        at = np.repeat(self.places[ids] - ends + sizes, sizes) + np.arange(len(data))
+        return self.pool[at].tobytes() == data
 
 
 class Windows:
@@ -115,14 +127,14 @@ class Windows:
 
     def numbers(self, keys: list[bytes]) -> np.ndarray:
         """Numbers of windows; those met for the first time are aligned in one go."""
-        new = [key for key in dict.fromkeys(keys) if key not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
-            self.align(new)
-        found = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
-        for key in new:
-            if len(key) > 4 * LONGEST_KNOWN:
-                del self.known[key]
+        found = np.fromiter(map(self.known.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = dict.fromkeys(keys[k] for k in missing)
+            new = dict(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
+            self.align(list(new))
+            found[missing] = [new[keys[k]] for k in missing]
+            self.known.update((key, number) for key, number in new.items() if len(key) <= 4 * LONGEST_KNOWN)
         return found
 
     def align(self, keys: list[bytes]) -> None:
@@ -162,15 +174,16 @@ class Aligner:
         self.a, self.b = Side(ByteLevel(a_path)), Side(Pieces(b_path))
         self.windows = Windows(self.a, self.b, most)
 
-    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides; none unless both give the text back."""
+    def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides of some texts, one side after the other; none unless both give the text back."""
         none = np.zeros(0, dtype=np.uint32)
-        if not text:
-            return none, none
-        data = f" {text}".encode()
-        b = self.b.read(text, data)
-        a = None if b is None else self.a.read(f" {text}", data)
-        return (none, none) if a is None else (a, b)
+        data = [f" {text}".encode() if text else b"" for text in texts]
+        of_b = [np.array(self.b.encode(text), dtype=np.uint32) if text else none for text in texts]
+        fine = [self.b.spells(b, d) for b, d in zip(of_b, data, strict=True)]
+        of_a = [self.a.encode(f" {text}") if ok else none for text, ok in zip(texts, fine, strict=True)]
+        # Byte-level tokens are pieces of the text itself, so their sizes tell whether they are all of it.
+        fine = [ok and int(self.a.sizes[a].sum()) == len(d) for a, ok, d in zip(of_a, fine, data, strict=True)]
+        return [(a, b) if ok else (none, none) for a, b, ok in zip(of_a, of_b, fine, strict=True)]
 
     def keys(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
         """Packed ids of every window of a text, in order."""
@@ -180,19 +193,21 @@ class Aligner:
         before_a = ends_a[:-1][self.a.spaced[a[1:]]]
         before_b = ends_b[:-1][self.b.spaced[b[1:]]]
         anchors = np.intersect1d(before_a, before_b, assume_unique=True)
-        cuts_a = (4 * np.searchsorted(ends_a, anchors) + 4).tolist()
-        cuts_b = (4 * np.searchsorted(ends_b, anchors) + 4).tolist()
-        packed_a, packed_b = a.tobytes(), (b | B_MARK).tobytes()
-        return [
-            packed_a[p:q] + packed_b[r:s]
-            for p, q, r, s in zip([0, *cuts_a], [*cuts_a, 4 * len(a)], [0, *cuts_b], [*cuts_b, 4 * len(b)], strict=True)
-        ]
+        cuts_a = np.concatenate([np.searchsorted(ends_a, anchors) + 1, [len(a)]])
+        cuts_b = np.concatenate([np.searchsorted(ends_b, anchors) + 1, [len(b)]])
+        # The ids of A of a window come before those of B, so an id of B has all of A up to the cut before it.
+        from_b = np.zeros(len(a) + len(b), dtype=bool)
+        from_b[np.arange(len(b)) + np.repeat(cuts_a, np.diff(cuts_b, prepend=0))] = True
+        laid = np.empty(len(from_b), dtype=np.uint32)
+        laid[from_b], laid[~from_b] = b | B_MARK, a
+        packed, ends = laid.tobytes(), (4 * (cuts_a + cuts_b)).tolist()
+        return [packed[p:q] for p, q in zip([0, *ends], ends, strict=False)]
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """Values of the added columns for some texts."""
         if len(self.windows.texts) > self.windows.most:
             self.windows.clear()
-        ids = [self.ids(text) for text in texts]
+        ids = self.ids(texts)
         keys = [self.keys(a, b) for a, b in ids]
         numbers = self.windows.numbers([key for part in keys for key in part])
         lo, rows = 0, []
