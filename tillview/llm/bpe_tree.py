@@ -23,12 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tillview.llm.common import add_columns, byte_words, worker_value
-from tillview.llm.subwords import SubwordCoder, subword_coder, vocabulary_path
+from tillview.llm.common import add_columns, byte_words
+from tillview.llm.subwords import SubwordCoder, vocabulary_path
 
 # Stretches up to this many bytes are encoded as they are.
 LEAF_BYTES = 256
 WINDOW_BYTES = 32
+# Known stretches of one task, and half its known pre-tokens.
+KNOWN_WORDS = 1 << 17
 
 
 @dataclass
@@ -49,7 +51,8 @@ class TreeCoder:
         from tokenizers import Tokenizer, normalizers
 
         self.leaf = leaf
-        self.words: SubwordCoder = subword_coder(path)
+        # The tables of known words belong to this coder and go with it.
+        self.words = SubwordCoder(path, KNOWN_WORDS)
         self.normal = self.words.tokenizer.normalizer
         self.bare = Tokenizer.from_file(path)
         self.bare.no_truncation()
@@ -194,28 +197,34 @@ class TreeCoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-def tree_coder(path: str) -> TreeCoder:
-    return worker_value(f"tree:{path}", lambda: TreeCoder(path))
+def packed_lists(parts: list[np.ndarray]):
+    """Ids of many texts as an Arrow list column."""
+    import pyarrow as pa
 
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
 
-def bpe_encode(docs: DataFrame, text: str = "text", path: str | None = None, packed: bool = False) -> DataFrame:
+
+def bpe_encode(docs: DataFrame, text: str = "text", path: str | None = None, packed: bool = False, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array of int) of the whole text.
 
-    ``packed`` adds ``ids_packed``, the ids as little-endian unsigned 32-bit integers.
+    ``packed`` adds ``ids_packed``, the ids as little-endian unsigned 32-bit integers; ``decoded`` adds
+    ``decoded``, the text that the ids decode to. All come from one pass with one tokenizer.
     """
     path = path or vocabulary_path()
+    added = {"ids": "array<int>"} | ({"ids_packed": "binary"} if packed else {}) | ({"decoded": "string"} if decoded else {})
 
-    def run(texts):
-        import pyarrow as pa
-
-        coder = tree_coder(path)
+    def run(coder, texts):
         parts = [coder.encode(t.as_py()).astype("<u4") for t in texts]
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
-        return [ids, [p.tobytes() for p in parts]] if packed else [ids]
+        columns = {"ids": packed_lists(parts)}
+        if packed:
+            columns["ids_packed"] = [p.tobytes() for p in parts]
+        if decoded:
+            columns["decoded"] = [coder.decode(p.tolist()) for p in parts]
+        return list(columns.values())
 
-    return add_columns(docs, [text], {"ids": "array<int>"} | ({"ids_packed": "binary"} if packed else {}), run)
+    return add_columns(docs, [text], added, run, start=lambda: TreeCoder(path))
 
 
 def id_lists(column) -> list[np.ndarray]:
@@ -227,8 +236,7 @@ def bpe_decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) ->
     """``encoded`` with ``decoded``, the text that the tokenizer makes of ``ids``."""
     path = path or vocabulary_path()
 
-    def run(column):
-        coder = tree_coder(path)
+    def run(coder, column):
         return [[coder.decode(row.tolist()) for row in id_lists(column)]]
 
-    return add_columns(encoded, [ids], {"decoded": "string"}, run)
+    return add_columns(encoded, [ids], {"decoded": "string"}, run, start=lambda: TreeCoder(path))

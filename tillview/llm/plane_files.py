@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillview.llm.bpe_tree import tree_coder
+from tillview.llm.bpe_tree import TreeCoder
 from tillview.llm.common import map_rows
 from tillview.llm.subwords import vocabulary_path
 
@@ -95,7 +95,7 @@ def write_plane_files(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder = tree_coder(path)
+        coder = TreeCoder(path)
         end = np.array([end_id], dtype=np.uint32)
 
         def documents():

@@ -35,10 +35,10 @@ def op1_edit_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe_tree.bpe_encode(table(spark, folder, "documents").select("doc_id", "text"), packed=True)
-    named = encoded.select("doc_id", "ids", F.sha2("ids_packed", 256).alias("ids_sha256"))
-    return bpe_tree.bpe_decode(named).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe_tree.bpe_encode(docs, packed=True, decoded=True).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
