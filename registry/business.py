@@ -14,6 +14,7 @@ from tillview.functions.dates import date_parts
 from tillview.operators import binning, filters, ranking, scoring, sketches
 from tillview.plans import business as b
 from tillview.session import new_folder
+from tillview.sources import layout
 
 LOW, HIGH = date(1996, 1, 1), date(1998, 12, 31)
 IN_RANGE = f"order_date BETWEEN TIMESTAMP '{LOW}' AND TIMESTAMP '{HIGH}'"
@@ -47,6 +48,13 @@ def _(spark, sf):
     return filters.by_gender(t.orders(spark, sf), "MACHINERY")
 
 
+@query("fil_01_stored_by_month", f"SELECT * FROM t_orders WHERE {IN_RANGE}", "t_orders")
+def _(spark, sf):
+    orders = t.orders(spark, sf)
+    stored = layout.read_orders(spark, layout.write_orders(orders, new_folder(spark, "orders")), orders.schema)
+    return layout.orders_between(stored, LOW, HIGH).drop(layout.MONTH)
+
+
 @query("fil_01_03_orders_filter", f"SELECT * FROM t_orders WHERE {IN_RANGE} AND region = 'EUROPE' AND gender = 'BUILDING'", "t_orders")
 def _(spark, sf):
     return filters.orders_filter(t.orders(spark, sf), LOW, HIGH, "EUROPE", "BUILDING")

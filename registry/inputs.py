@@ -12,7 +12,7 @@ from tillview.operators import joins
 from tillview.plans import insights
 from tillview.schemas import input_report, is_empty
 from tillview.session import TableCache, new_folder
-from tillview.sources import files, star
+from tillview.sources import files, layout, star
 
 PURCHASES = """SELECT customer_id, product, category, CAST(amount AS DOUBLE) AS amount, price_inr
   FROM t_lines"""
@@ -219,6 +219,15 @@ def _(spark, sf):
     return t.base(spark, sf)
 
 
+@query("joi_04_bucketed_base", "SELECT * FROM t_base", "t_base")
+def _(spark, sf):
+    tables = {
+        "predictions": t.scored(spark, sf), "orders": star.transactions(spark, sf), "rfm": t.rfm(spark, sf),
+        "features": t.features(spark, sf),
+    }
+    return layout.bucketed_insights_base(**layout.customer_tables(tables, new_folder(spark, "buckets"), buckets=8))
+
+
 @query("joi_05_recs_base", "SELECT * FROM t_recs_base", "t_recs_base")
 def _(spark, sf):
     return t.recs_base(spark, sf)
