@@ -44,8 +44,10 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
+    bought, wide = star.shared_inputs(spark, sf)
+    predicted = star.predictions(spark, sf, bought=bought, features=wide)
     return joins.insights_base(
-        scored(spark, sf), star.transactions(spark, sf), rfm(spark, sf), features(spark, sf)
+        scoring.preprocess_predictions(predicted), star.transactions(spark, sf, features=wide), rfm(spark, sf), wide
     )
 
 
@@ -54,7 +56,8 @@ def recs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recs_base(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.recs_base(recs(spark, sf), rfm(spark, sf), features(spark, sf))
+    bought, wide = star.shared_inputs(spark, sf)
+    return joins.recs_base(star.customer_recs(spark, sf, bought=bought, features=wide), rfm(spark, sf), wide)
 
 
 def event_orders(spark: SparkSession, sf: str) -> DataFrame:

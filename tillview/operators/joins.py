@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillview.schemas import existing
+from tillview.session import written_once
 
 # Columns an insights row takes from the customer's latest order.
 ORDER_COLUMNS = (
@@ -91,7 +92,12 @@ def orders_of(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def similar_customer(base: DataFrame) -> DataFrame:
-    """Each customer with name and purchases of the matched one; NULLs when there is none."""
+    """Each customer with name and purchases of the matched one; NULLs when there is none.
+
+    Both sides are one table, which is written once. A customer many others are matched to is a hot
+    key of the left side, which adaptive execution splits.
+    """
+    base = written_once(base, "customers")
     matched = base.select(
         F.col("customer_id").alias("Matched_Customer_ID"),
         F.col("name").alias("matched_name"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillview.operators.binning import f_score, propensity_category, qcut, quantile_edges
 from tillview.schemas import has
+from tillview.session import written_once
 
 # Labels, score limits and weights that results depend on.
 R_LABELS = (4, 3, 2, 1)
@@ -68,8 +69,11 @@ def engagement_score(predictions: DataFrame) -> DataFrame:
 
 
 def preprocess_predictions(predictions: DataFrame) -> DataFrame:
-    """Fill unknown labels and add both categories and the engagement score, before any filter."""
-    known = fill_unknown(predictions).withColumn("propensity_category", propensity_category())
+    """Fill unknown labels and add both categories and the engagement score, before any filter.
+
+    Edges, maximum and rows all read the predictions, which are written once for the three of them.
+    """
+    known = fill_unknown(written_once(predictions, "predictions")).withColumn("propensity_category", propensity_category())
     return engagement_score(spending_category(known))
 
 

@@ -59,6 +59,17 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as parquet to the shared folder and read it back.
+
+    For a table that several branches of one plan read, which would each build it anew. Readers prune
+    columns and rows; losing an executor loses nothing.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
     """Keep a base table while several reports read it. Losing the cache costs time, not results."""

@@ -17,6 +17,7 @@ from tillview.functions.numbers import MONEY, money_sum
 from tillview.operators.matching import best_matches
 from tillview.operators.neighbours import projected_matches
 from tillview.schemas import PCT_SUFFIX, SPEND_SUFFIX
+from tillview.session import written_once
 
 # The anchor date recency is counted to, and the 25 categories of the star schema.
 ANCHOR = "2001-08-02"
@@ -240,15 +241,21 @@ def carts(
     )
 
 
-def transactions(spark: SparkSession, folder: str, anchor: str = ANCHOR) -> DataFrame:
-    """One row per order, with days since the customer's last visit and the cart lists."""
+def transactions(
+    spark: SparkSession, folder: str, anchor: str = ANCHOR, features: DataFrame | None = None,
+    categories: Sequence[str] = CATEGORIES,
+) -> DataFrame:
+    """One row per order, with days since the customer's last visit and the cart lists.
+
+    ``features`` saves building the category features where the caller has them.
+    """
+    if features is None:
+        features = category_features(bought_products(spark, folder), categories)
     orders = plain_orders(spark, folder)
     visits = orders.groupBy("customer_id").agg(
         F.datediff(F.lit(anchor).cast("date"), F.max("order_date")).alias("days_since_last_visit")
     )
-    baskets = carts(
-        order_lines(spark, folder), orders, category_features(bought_products(spark, folder))
-    )
+    baskets = carts(order_lines(spark, folder), orders, features, categories)
     people = customer_places(spark, folder).join(visits, "customer_id").join(baskets, "customer_id", "left")
     return orders.join(people, "customer_id").select(
         "transaction_id", "customer_id", "name", "gender", "region", "state", "city_name",
@@ -258,15 +265,18 @@ def transactions(spark: SparkSession, folder: str, anchor: str = ANCHOR) -> Data
 
 
 def predictions(
-    spark: SparkSession, folder: str, categories: Sequence[str] = CATEGORIES
+    spark: SparkSession, folder: str, categories: Sequence[str] = CATEGORIES, bought: DataFrame | None = None,
+    features: DataFrame | None = None,
 ) -> DataFrame:
     """One row per customer and product bought, with a propensity and a similarity.
 
     Propensity is the pair's amount over the customer's largest; similarity is the cosine between
     the customer's category spend and the product's category. Everything known per customer is
-    joined to one row first and meets the pairs in a single join.
+    joined to one row first and meets the pairs in a single join. ``bought`` and ``features`` save
+    building them where the caller has them.
     """
-    bought = bought_products(spark, folder)
+    bought = bought_products(spark, folder) if bought is None else bought
+    features = category_features(bought, categories) if features is None else features
     pairs = bought.withColumn("amount", F.col("amount").cast("double"))
     largest = pairs.groupBy("customer_id").agg(F.max("amount").alias("_largest"))
     spent = plain_orders(spark, folder).groupBy("customer_id").agg(
@@ -274,7 +284,7 @@ def predictions(
         F.count(F.lit(1)).alias("total_transactions"),
     )
     names = F.lit(list(categories))
-    vectors = category_features(bought, categories).select(
+    vectors = features.select(
         "customer_id",
         F.map_from_arrays(names, spend_array(categories)).alias("_spend"),
         spend_norm(categories).alias("_norm"),
@@ -345,18 +355,26 @@ def recommended_items(
     )
 
 
+def shared_inputs(spark: SparkSession, folder: str, categories: Sequence[str] = CATEGORIES) -> tuple[DataFrame, DataFrame]:
+    """Purchases per customer and product, and category features, each built and written once."""
+    bought = written_once(bought_products(spark, folder), "bought")
+    return bought, written_once(category_features(bought, categories), "features")
+
+
 def customer_recs(
-    spark: SparkSession, folder: str, matches: DataFrame | None = None, anchor: str = ANCHOR
+    spark: SparkSession, folder: str, matches: DataFrame | None = None, anchor: str = ANCHOR, bought: DataFrame | None = None,
+    features: DataFrame | None = None, categories: Sequence[str] = CATEGORIES,
 ) -> DataFrame:
     """One row per customer: place, spend, lists of purchases and carts, match, recommendations.
 
-    A list column holds each product once, so its length is bounded by the catalog.
+    A list column holds each product once, so its length is bounded by the catalog. Purchases, features
+    and matches are read by several branches each and are written once.
     """
     orders = plain_orders(spark, folder)
-    bought = bought_products(spark, folder)
-    features = category_features(bought)
+    if bought is None or features is None:
+        bought, features = shared_inputs(spark, folder, categories)
     if matches is None:
-        matches = customer_matches(features)
+        matches = written_once(customer_matches(features, categories=categories), "matches")
     spent = orders.groupBy("customer_id").agg(
         money_sum("total_spent").alias("total_spent"),
         F.datediff(F.lit(anchor).cast("date"), F.max("order_date")).alias("days_since_last_visit"),
@@ -364,7 +382,7 @@ def customer_recs(
     history = bought.groupBy("customer_id").agg(
         _list_of(F.lit(True)).alias("purchased_products_names")
     )
-    offers = recommended_items(matches, bought, features).groupBy("customer_id").agg(
+    offers = recommended_items(matches, bought, features, categories).groupBy("customer_id").agg(
         _list_of(F.col("same")).alias("Predicted_Products_from_Same_Category"),
         _list_of(~F.col("same")).alias("Predicted_Products_from_Other_Categories"),
     )
@@ -372,7 +390,7 @@ def customer_recs(
         customer_places(spark, folder)
         .join(spent, "customer_id")
         .join(history, "customer_id", "left")
-        .join(carts(order_lines(spark, folder), orders, features), "customer_id", "left")
+        .join(carts(order_lines(spark, folder), orders, features, categories), "customer_id", "left")
         .join(matches, "customer_id", "left")
         .join(offers, "customer_id", "left")
         .select(
