@@ -189,10 +189,13 @@ def _(spark, sf):
     return i.top_priority(t.base(spark, sf))
 
 
-@query("sco_03_top_customers_table", f"""SELECT CAST(row_number() OVER (ORDER BY priority_score DESC, customer_id, product) AS INTEGER) AS "Rank",
+TOP_TABLE = f"""SELECT CAST(row_number() OVER (ORDER BY priority_score DESC, customer_id, product) AS INTEGER) AS "Rank",
   customer_id AS "Customer ID", name AS "Name", {percent('propensity_score', 1)} AS "Propensity", {percent('engagement_score', 1)} AS "Engagement",
   {money('total_spent')} AS "Total Spent", Recency AS "Days Since Visit", Frequency AS "Purchases", city AS "City",
-  {percent('priority_score', 1)} AS "Priority Score" FROM ({TOP})""", "t_base")
+  {percent('priority_score', 1)} AS "Priority Score" FROM ({TOP})"""
+
+
+@query("sco_03_top_customers_table", TOP_TABLE, "t_base")
 def _(spark, sf):
     return i.top_customers_table(t.base(spark, sf))
 
@@ -206,10 +209,10 @@ def _(spark, sf):
     return read_text(spark, files.export_tracking(i.tracking_table(t.base(spark, sf)), new_folder(spark, "tracking"), "20010802_000000"))
 
 
-@query("snk_02_export_top_customers", f"SELECT CAST(customer_id AS VARCHAR) AS \"Customer ID\", {percent('priority_score', 1)} AS \"Priority Score\" FROM ({TOP})", "t_base")
+@query("snk_02_export_top_customers", f"SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({TOP_TABLE})", "t_base")
 def _(spark, sf):
-    path = files.export_top_customers(i.top_customers_table(t.base(spark, sf)), new_folder(spark, "top"), "20010802_000000")
-    return read_text(spark, path).select("Customer ID", "Priority Score")
+    table = i.top_customers_table(t.base(spark, sf))
+    return read_text(spark, files.export_top_customers(table, new_folder(spark, "top"), "20010802_000000"))
 
 
 # -- summaries ------------------------------------------------------------------------------
