@@ -266,6 +266,11 @@ def _(spark, sf):
     return campaign.offer_prompt(t.catalog(spark, sf).select("category", "product"))
 
 
+@query("cmp_04_prompts_of_offers", f"SELECT *, '{OFFER_TEXT[0]}' || product || '{OFFER_TEXT[1]}' AS prompt FROM ({OFFERS})", "t_recs")
+def _(spark, sf):
+    return campaign.offer_prompt(campaign.offer_product(t.recs(spark, sf)))
+
+
 @query("cmp_05_parse_offer", "SELECT product, 'Only today: ' || product AS offer FROM t_catalog", "t_catalog")
 def _(spark, sf):
     reply = F.concat(F.lit(" \n\tOnly today: "), F.col("product"), F.lit("\nSecond line\n"))
