@@ -56,6 +56,51 @@ def test_jaccard_components(docs):
     ])
 
 
+def by_hand(rows):
+    """(doc_id, n_shingles, component_id) of (doc_id, text) by comparing all pairs of sets."""
+    fold, sets = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"), []
+    for _, text in rows:
+        words = (text or "").encode().translate(fold).split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                root[top(i)] = top(j)
+    least = {}
+    for n, (doc, _) in enumerate(rows):
+        least[top(n)] = min(doc, least.get(top(n), doc))
+    return sorted((doc, len(sets[n]), least[top(n)]) for n, (doc, _) in enumerate(rows))
+
+
+def test_jaccard_against_all_pairs(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == by_hand([tuple(r) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_jaccard_at_the_limit(spark, seed):
+    """Sets near similarity 0.8 around shared passages, where each token of a prefix may be the first shared one."""
+    draw, rows = np.random.default_rng(seed), []
+    for base in range(12):
+        common = [f"c{base}_{x}" for x in draw.integers(0, 400, draw.integers(20, 120))]
+        for _ in range(12):
+            cut = common[draw.integers(0, 6) :]
+            own = [f"w{x}" for x in draw.integers(0, 9999, draw.integers(0, max(2, len(cut) // 4)))]
+            at = draw.integers(0, len(cut))
+            rows.append((len(rows), " ".join(own + cut if draw.integers(2) else cut[:at] + own + cut[at:])))
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = by_hand(rows)
+    assert 20 < len({r[2] for r in want}) < 130
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_lines(docs):
     rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     assert rows[1].text == LONG and rows[2].text == "" and rows[8].text.startswith("z0 ") and "\n" not in rows[8].text
@@ -197,6 +242,25 @@ def test_mix_meets_targets(spark, folder):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_longer_documents_are_likelier(spark):
+    """Inclusion probabilities differ within a source, sum to the need, and change the order."""
+    rows = [(n, " ".join(["w"] * (20 if n % 4 else 1000)), "s" if n < 2400 else "t") for n in range(3000)]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    part = [r for r in mixed if r.source == "s"]
+    whole, rest = divmod(part[0].target / part[0].source_size, 1)
+    share = {}
+    for size in (20, 1000):
+        share[size] = np.mean([r.copies - whole for r in part if r.size == size])
+    z = {size: 4096 * size // (size + mixing.MIDDLE_WORDS) / 4096 for size in share}
+    mean = sum(z[r.size] * r.size for r in part) / part[0].source_size
+    for size in share:
+        assert share[size] == pytest.approx(rest + min(rest, 1 - rest) * (z[size] - mean), abs=0.08)
+    assert share[1000] > share[20] + 0.1
+    plain = sorted(part, key=lambda r: hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest())
+    taken = [r.copies for r in plain]
+    assert taken != sorted(taken, reverse=True)
+
+
 def test_scores(docs):
     rows = attention_lm.score_documents(docs).collect()
     assert len(rows) == len(TEXTS)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tillview.llm.common import dropped, map_rows, mixed, semi_join, stored
 from tillview.llm.links import linked_groups
-from tillview.llm.shingles import batch_windows, prefix_length, set_name, signed, text_set
+from tillview.llm.shingles import batch_windows, extra_matches, prefix_length, set_name, signed, text_set
 
 CELL_BITS = 18
 SLAB = 4096
@@ -111,7 +111,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
         rows = []
         for text in batch.column("text"):
             hashes = text_set(text.as_py())
-            p = prefix_length(len(hashes))
+            p = prefix_length(len(hashes)) - extra_matches(len(hashes)) + 1
             others = [signed(hashes[np.argsort(mixed(hashes ^ np.uint64(k)))[:p]]) for k in MORE_ORDERS]
             rows.append((set_name(hashes), len(hashes), signed(hashes), *others))
         kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
@@ -126,11 +126,17 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets pass the filters of the further orders and have similarity 0.8 or more."""
-    side = lambda s: sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns])
-    joined = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+
+    def with_sides(rows: DataFrame, *columns: str) -> DataFrame:
+        for s in "ab":
+            rows = rows.join(sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", *columns)]), F.col(s) == F.col(f"node_{s}"))
+        return rows
+
+    filtered = with_sides(pairs, "prefix_2", "prefix_3").where(F.arrays_overlap("prefix_2_a", "prefix_2_b"))
+    filtered = filtered.where(F.arrays_overlap("prefix_3_a", "prefix_3_b")).select("a", "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    filtered = joined.where(F.arrays_overlap("prefix_2_a", "prefix_2_b")).where(F.arrays_overlap("prefix_3_a", "prefix_3_b"))
-    return filtered.where(100 * common >= 80 * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    whole = with_sides(filtered, "n", "tokens")
+    return whole.where(100 * common >= 80 * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
 def behind_prefix(n):
@@ -138,14 +144,16 @@ def behind_prefix(n):
     return F.floor((4 * n + 4) / 5) - F.greatest(F.lit(1), F.floor((n + 19) / 20))
 
 
-def can_be_similar(n_x, shared_x, n_y, shared_y):
-    """Whether sizes allow similarity 0.8, and so do the prefix tokens that each set shares at all.
+def can_be_similar(n_x, shared_x, at_x, n_y, shared_y, at_y):
+    """Whether sizes allow similarity 0.8, and so do the shared tokens and the place of this one.
 
     A link needs 4/9 of both sizes together in common. All but the tokens behind one of the prefixes
-    must be among the shared ones of both.
+    must be among the shared ones of both. The first token that two linked sets share, at places at_x and
+    at_y of the first order, has all others behind it in both sets; this holds for one bucket of each link.
     """
-    needed = F.ceil(4 * (n_x + n_y) / 9) - F.greatest(behind_prefix(n_x), behind_prefix(n_y))
-    return (5 * F.least(n_x, n_y) >= 4 * F.greatest(n_x, n_y)) & (F.least(shared_x, shared_y) >= needed)
+    common = F.ceil(4 * (n_x + n_y) / 9)
+    enough = F.least(shared_x, shared_y) >= common - F.greatest(behind_prefix(n_x), behind_prefix(n_y))
+    return (5 * F.least(n_x, n_y) >= 4 * F.greatest(n_x, n_y)) & enough & (F.least(n_x - at_x, n_y - at_y) >= common)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -155,22 +163,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     index = stored(prefix_index(docs, classes), "index")
 
     # A bucket is all sets with one shingle in their prefix; those with one set only are of no use.
-    rows = index.where("prefix is not null").select(F.explode("prefix").alias("bucket"), "node")
+    rows = index.where("prefix is not null").select("node", F.posexplode("prefix").alias("at", "bucket"))
     bucket = Window.partitionBy("bucket")
     shared = rows.withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket))
-    shared = shared.where("low <> high").select("bucket", "node").distinct()
+    shared = shared.where("low <> high").select("bucket", "node", "at").distinct()
     shared = stored(shared, "shared")
     # Sets that share too few prefix tokens with all others together have no link at all.
     sizes = index.where("prefix is not null").select("node", "n").distinct()
     counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "node")
     counted = counted.where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.col("n") / 25)))
-    buckets = stored(shared.join(counted, "node").select("bucket", "node", "n", "shared"), "buckets")
+    # Tokens behind the first fifth count as shared, but no link has its first shared token there.
+    early = F.col("n") - F.col("at") >= F.ceil(4 * F.col("n") / 5)
+    buckets = stored(shared.join(counted, "node").where(early).select("bucket", "node", "n", "shared", "at"), "buckets")
 
     # Whole sets are made again for the documents that are in a bucket, one for each set.
     nodes = buckets.select("node").distinct()
     wanted = index.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     sets = stored(full_sets(semi_join(docs, wanted, ["doc_id"])), "sets")
-    groups = linked_groups(buckets, lambda pairs: similar_pairs(pairs, sets), can_be_similar, "shared")
+    groups = linked_groups(buckets, lambda pairs: similar_pairs(pairs, sets), can_be_similar, "shared", "at")
 
     # The smallest id of each set, then of each component, then back to every document.
     named = index.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))

@@ -62,33 +62,42 @@ def with_component(rows: DataFrame, comps: DataFrame, node: str = "node") -> Dat
     return joined.withColumn("comp", F.coalesce("comp", F.col(node)))
 
 
-def distinct_buckets(buckets: DataFrame) -> DataFrame:
-    """One of all buckets that hold the same nodes; the others would only repeat its pairs."""
+def distinct_buckets(buckets: DataFrame, place: str | None = None) -> DataFrame:
+    """One of all buckets that hold the same nodes; the others would only repeat its pairs.
+
+    With ``place`` it is the one that its nodes hold at the smallest places.
+    """
     held = buckets.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
-        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min(place or F.lit(0)).alias("place"),
     )
-    chosen = held.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    first = F.min_by("bucket", F.struct("place", "bucket")).alias("bucket")
+    chosen = held.where("n > 1").groupBy("n", "x", "y").agg(first).select("bucket")
     return buckets.join(chosen, "bucket", "left_semi")
 
 
 def linked_groups(
-    buckets: DataFrame, verify: Verify, near: Callable | None = None, central: str | None = None
+    buckets: DataFrame, verify: Verify, near: Callable | None = None, central: str | None = None,
+    place: str | None = None,
 ) -> DataFrame:
     """(node, comp) for all nodes that have a verified link.
 
     ``buckets``: (bucket, node, *extra), read several times, so pass a stored table. ``near(extra of a,
     extra of b)`` is a cheap necessary condition on the extra columns. ``verify`` takes distinct pairs
     (a, b) with a < b and returns the links. ``central`` names an extra column that is large for nodes
-    likely to be linked to many others; these are the first representatives.
+    likely to be linked to many others; these are the first representatives. ``place`` names an extra
+    column with the place of the bucket among all buckets of its node, in an order that is the same for
+    all nodes; it says which of several buckets with the same nodes is kept. The tables of a round are
+    deleted when the next has been written.
     """
     extra = [c for c in buckets.columns if c not in ("bucket", "node")]
-    buckets = stored(distinct_buckets(buckets), "buckets")
+    buckets = stored(distinct_buckets(buckets, place), "buckets")
     placed = buckets.withColumn("comp", F.col("node"))
     links = tested = comps = None
+    kept: list[DataFrame] = [buckets]
 
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select("bucket", *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "comp", *extra)])
+    def side(df: DataFrame, mark: str, *more: str) -> DataFrame:
+        return df.select("bucket", *more, *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "comp", *extra)])
 
     for turn in range(STARS + 1):
         # Buckets with nodes of two or more components; the largest component of each.
@@ -100,13 +109,17 @@ def linked_groups(
         if open_rows.isEmpty():
             break
         if turn == STARS:
-            x, y = side(open_rows.where("comp <> main"), "x"), side(open_rows, "y")
+            # Of two nodes outside the largest component one meets the other, not both each other.
+            x = side(open_rows.where("comp <> main"), "x")
+            y = side(open_rows, "y", "main")
         else:
             # The same representative wherever it is in the bucket, another one in each round.
             order = F.xxhash64(F.lit(turn), "node") if turn or not central else F.struct(central, "node")
             heads = open_rows.groupBy("bucket").agg(F.max_by(F.struct("node", "comp", *extra), order).alias("h"))
             x, y = side(open_rows, "x"), side(heads.select("bucket", "h.*"), "y")
         joined = x.join(y, "bucket").where("comp_x <> comp_y")
+        if turn == STARS:
+            joined = joined.where("comp_y = main or node_x < node_y")
         if near is not None:
             joined = joined.where(near(*[joined[f"{c}_{s}"] for s in "xy" for c in extra]))
         pairs = joined.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
@@ -114,16 +127,23 @@ def linked_groups(
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         dropped(open_rows)
+        kept.append(pairs)
         if pairs.isEmpty():
             continue
         found = stored(verify(pairs).select("a", "b"), "links")
+        kept.append(found)
         tested = pairs if tested is None else tested.union(pairs)
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
-        comps = stored(components(links), "components")
+        before = [] if comps is None else [comps, placed]
+        reached = components(links)
+        comps = stored(reached, "components")
         placed = stored(with_component(buckets, comps), "placed")
+        dropped(reached, *before)
     if comps is None:
-        return buckets.select("node", F.col("node").alias("comp")).limit(0)
-    dropped(buckets)
+        nothing = stored(buckets.select("node", F.col("node").alias("comp")).limit(0), "components")
+        dropped(*kept)
+        return nothing
+    dropped(placed, *kept)
     return comps
