@@ -1,12 +1,12 @@
 """Mixing sources to target weights in a drawn order, in DataFrame functions only.
 
-Every source gets a target of words. A document of a source with ``target = 2.3 * size`` is taken
-twice for certain and a third time with probability 0.3: each document draws a uniform number, its
-odds are divided by the odds of its inclusion probability, and documents are taken in the order of
-this ratio until the target is met. That is the form of Pareto order sampling, but all documents of a
-source have the same inclusion probability, so within a source the order is plainly random. Sizes differ, so "fixed size" is meant in words: a document that
-would overshoot is passed over for smaller ones further on, and the last one taken is the one that
-leaves the source nearest to its target.
+Every source gets a target of words. In a source with ``target = 2.3 * size`` every document is taken
+twice for certain. For the rest each has an inclusion probability of its own, 0.3 on average over the
+words of the source and larger for longer documents (see ``inclusion``). Each draws a uniform number, its
+odds are divided by the odds of the inclusion probability, and documents are taken in the order of this
+ratio until the target is met: Pareto order sampling. Sizes differ, so "fixed size" is meant in words: a
+document that would overshoot is passed over for smaller ones further on, and the last one taken is the
+one that leaves the source nearest to its target.
 
 No source is ever sorted as a whole. The ratio is mapped to 0..1 and cut into 4,096 bins whose sums
 are added up per source; the bin in which the target is met is cut into 4,096 again. What is joined
@@ -30,6 +30,8 @@ BINS = 4096
 # Fillings of a source: one in order, and some with smaller documents for what is then missing.
 ROUNDS = 4
 CAP = 3
+# A document of this many words is half way between the least and the most lift by length.
+MIDDLE_WORDS = 200
 WEIGHTS = (1, 2, 3)
 SEED = 11
 ADDED = ("size", "source_size", "target", "copies", "taken")
@@ -42,8 +44,22 @@ def uniform(key: Column, seed: int) -> Column:
     return (digits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def lift(size: Column) -> Column:
+    """0 for no words up to 4,096 for endlessly many: a whole number, so that sums do not depend on order."""
+    return F.floor(F.lit(4096) * size / (size + F.lit(MIDDLE_WORDS))).cast("long")
+
+
+def inclusion(part: Column, mean_lift: Column, size: Column) -> Column:
+    """The chance of a further copy, larger for longer documents.
+
+    ``mean_lift`` is the mean over the words of the source, so the expected words are exactly ``part`` of
+    its words. The chance is above 0 and below 1 wherever ``part`` is.
+    """
+    return part + F.least(part, 1 - part) * (lift(size) - mean_lift) / F.lit(4096.0)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), one row per source.
+    """``sizes`` (source, source_size, ...) with ``target``, one row per source.
 
     Shares by weight stop at ``cap`` times the size; what is cut off is shared again. Sources are put
     in the order in which they reach their cap, so running sums give the final share directly. The
@@ -65,7 +81,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     # The first source that its share does not overfill sets the share of all that follow.
     open_ended = F.when(F.col("limit") >= F.col("share") * F.col("weight"), F.struct("nth", "share"))
     share = share.withColumn("settled", F.coalesce(F.min(open_ended).over(everything)["share"], F.max("share").over(everything)))
-    return share.select("source", "source_size", F.least("limit", F.col("settled") * F.col("weight")).alias("target"))
+    return share.select(*sizes.columns, F.least("limit", F.col("settled") * F.col("weight")).alias("target"))
 
 
 def order_bin(u: Column, p: Column, scale: int) -> Column:
@@ -78,7 +94,7 @@ def order_bin(u: Column, p: Column, scale: int) -> Column:
 def mix_plan(rows: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
     """One row per source: its target, the copies all its documents get, and which bins get one more.
 
-    ``rows`` has (source, size, u). ``steps`` lists ranges of bins with the largest size taken there:
+    ``rows`` has (source, size, u), ``targets`` also ``mean_lift``. ``steps`` lists ranges of bins with the largest size taken there:
     a document that would overshoot is passed over, and smaller ones further on fill what is missing.
     The last round may overshoot if that is nearer than leaving the gap.
     """
@@ -92,9 +108,9 @@ def mix_plan(rows: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         last = fill == ROUNDS
         most = F.lit(float("inf")) if fill == 1 else F.col("_need") * (2 if last else 1)
         gain = F.col("upto") - F.col("n") / 2 if last else F.col("upto")
-        side = state.select(*[F.col(c).alias(f"_{c}") for c in ("source", "part", "need", "at")])
+        side = state.select(*[F.col(c).alias(f"_{c}") for c in ("source", "part", "mean_lift", "need", "at")])
         binned = rows.join(side, rows["source"].eqNullSafe(side["_source"])).withColumn(
-            "bin", order_bin(F.col("u"), F.col("_part"), BINS * BINS)
+            "bin", order_bin(F.col("u"), inclusion(F.col("_part"), F.col("_mean_lift"), F.col("size")), BINS * BINS)
         ).where((F.col("bin") > F.col("_at")) & (F.col("size") <= most) & (F.col("size") > 0))
 
         def upto(part: DataFrame, key: Column) -> DataFrame:
@@ -125,7 +141,7 @@ def mix_plan(rows: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
             (F.lit(float("inf")) if fill == 1 else F.col("need") * (2 if last else 1)).cast("double").alias("most"),
         )
         after = state.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-            "source", "source_size", "target", "whole", "part",
+            "source", "source_size", "target", "mean_lift", "whole", "part",
             (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), F.coalesce("to", "at").alias("at"),
             F.when(F.col("to").isNull(), F.col("steps")).otherwise(F.concat("steps", F.array(step))).alias("steps"),
         )
@@ -145,7 +161,8 @@ def mix_sources(
     docs = without(docs, *ADDED)
     sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_u", uniform(F.col("doc_id"), seed))
     rows = stored(sized.select("source", "size", F.col("_u").alias("u")), "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    mean_lift = F.coalesce(F.try_divide(F.sum(F.col("size") * lift(F.col("size"))), F.sum("size")), F.lit(0.0))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), mean_lift.alias("mean_lift"))
     plan = mix_plan(rows, source_targets(sizes, weights, cap), cap)
     dropped(rows)
     named = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
@@ -154,7 +171,7 @@ def mix_sources(
     )
     copies = F.least(F.col("_whole") + F.when(taken & (F.col("size") > 0), 1).otherwise(0), F.lit(cap))
     joined = sized.join(named, sized["source"].eqNullSafe(named["_source"]), "left")
-    joined = joined.withColumn("_bin", order_bin(F.col("_u"), F.col("_part"), BINS * BINS))
+    joined = joined.withColumn("_bin", order_bin(F.col("_u"), inclusion(F.col("_part"), F.col("_mean_lift"), F.col("size")), BINS * BINS))
     return joined.withColumn("copies", copies.cast("long")).select(
         *[docs[c] for c in docs.columns], "size", F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"),
