@@ -101,6 +101,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, label: str, key: str) -> tuple[DataFrame, str]:
+    """``stored``, in buckets of ``key``, with its name in the catalog: joins on ``key`` move the other side only."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    name = "scratch_" + "".join(c if c.isalnum() else "_" for c in path.rsplit("/", 1)[-1]).lower()
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key)
+    writer.saveAsTable(name)
+    return spark.table(name), name
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete scratch tables that no later result reads."""
     for table in tables:

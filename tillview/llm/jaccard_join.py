@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillview.llm.common import dropped, map_rows, mixed, semi_join, stored
+from tillview.llm.common import dropped, map_rows, mixed, semi_join, stored, stored_by
 from tillview.llm.links import linked_groups
 from tillview.llm.shingles import batch_windows, extra_matches, prefix_length, set_name, signed, text_set
 
@@ -179,7 +179,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Whole sets are made again for the documents that are in a bucket, one for each set.
     nodes = buckets.select("node").distinct()
     wanted = index.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sets = stored(full_sets(semi_join(docs, wanted, ["doc_id"])), "sets")
+    # They lie in buckets of their name, so every round moves its pairs and not the sets.
+    sets, name = stored_by(full_sets(semi_join(docs, wanted, ["doc_id"])), "sets", "node")
     groups = linked_groups(buckets, lambda pairs: similar_pairs(pairs, sets), can_be_similar, "shared", "at")
 
     # The smallest id of each set, then of each component, then back to every document.
@@ -191,6 +192,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     full = index.where("n > 0").select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node")
     empty = index.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     dropped(shared, buckets, sets, placed, groups)
+    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     return full.select("doc_id", "n_shingles", "component_id").union(empty)
 
 
