@@ -215,6 +215,31 @@ def _(spark, sf):
     return b.popular_products(t.lines(spark, sf))
 
 
+COLLOCATIONS = """names AS (SELECT regexp_extract_all(lower(product), '\\w[\\w'']*') AS w, count(*) AS c FROM t_lines WHERE product IS NOT NULL GROUP BY product),
+  words AS (SELECT word, sum(c) AS n FROM (SELECT unnest(w) AS word, c FROM names) WHERE length(word) > 1 AND word NOT IN ('red', 'small') GROUP BY 1),
+  pairs AS (SELECT first, second, sum(c) AS n FROM (SELECT w[i] AS first, w[i + 1] AS second, c FROM (SELECT w, c, unnest(range(1, len(w))) AS i FROM names))
+    WHERE first IN (SELECT word FROM words) AND second IN (SELECT word FROM words) GROUP BY 1, 2),
+  k AS (SELECT first, second, p.n::DOUBLE AS a, x.n - p.n::DOUBLE AS b, y.n - p.n::DOUBLE AS c,
+    (SELECT sum(n) FROM words) - x.n - y.n + p.n::DOUBLE AS d FROM pairs p JOIN words x ON x.word = first JOIN words y ON y.word = second)"""
+
+
+@query("agg_17_product_collocations", f"""SELECT first, second, CAST(a AS BIGINT) AS n, g2 FROM (SELECT *, round(2 * (
+  CASE WHEN a > 0 THEN a * ln(a * (a + b + c + d) / ((a + b) * (a + c))) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b * (a + b + c + d) / ((a + b) * (b + d))) ELSE 0 END
+  + CASE WHEN c > 0 THEN c * ln(c * (a + b + c + d) / ((c + d) * (a + c))) ELSE 0 END + CASE WHEN d > 0 THEN d * ln(d * (a + b + c + d) / ((c + d) * (b + d))) ELSE 0 END), 4) AS g2
+  FROM (WITH {COLLOCATIONS} SELECT * FROM k)) WHERE g2 >= 10 AND a * (a + b + c + d) > (a + b) * (a + c)""", "t_lines")
+def _(spark, sf):
+    return b.product_collocations(t.lines(spark, sf), stop_words=STOP_WORDS, least=10.0)
+
+
+@query("his_01_readable_order_values", """SELECT CAST(k - kl AS BIGINT) AS bin, k * width AS bin_start, (k + 1) * width AS bin_end, (SELECT count(*) FROM t_orders WHERE floor(total_spent / width) = k) AS n
+  FROM (SELECT width, floor(low / width) AS kl, unnest(range(CAST(floor(low / width) AS BIGINT), CAST(floor(high / width) AS BIGINT) + 1)) AS k FROM (
+    SELECT low, high, min(width) AS width FROM (SELECT min(total_spent) AS low, max(total_spent) AS high FROM t_orders),
+      (SELECT m * CAST(pow(10, e) AS DOUBLE) AS width FROM unnest([1, 2, 5]) AS ms(m), range(0, 12) AS es(e))
+    WHERE floor(high / width) - floor(low / width) < 40 GROUP BY low, high))""", "t_orders")
+def _(spark, sf):
+    return binning.readable_histogram(t.orders(spark, sf), "total_spent", 40)
+
+
 @query("agg_17_product_term_frequency", f"""SELECT term, {count()} AS n FROM (SELECT unnest(regexp_extract_all(lower(product), '\\w[\\w'']*')) AS term FROM t_lines)
   WHERE length(term) > 1 AND term NOT IN {STOP_WORDS} GROUP BY 1""", "t_lines")
 def _(spark, sf):

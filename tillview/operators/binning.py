@@ -143,3 +143,31 @@ def histogram(df: DataFrame, column: str, nbins: int) -> DataFrame:
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )
+
+
+def readable_histogram(df: DataFrame, column: str, most: int) -> DataFrame:
+    """Counts of at most ``most`` bins whose edges are multiples of 1, 2 or 5 times a power of ten.
+
+    The width is the smallest such number with which ``most`` bins cover all values. Columns as in
+    ``histogram``; every bin is open above. Equal values share one bin of width 1; NULL, NaN and
+    infinite values are left out, and without any value there are no bins.
+    """
+    if most < 2:
+        raise ValueError("values on both sides of zero need two bins")
+    x = F.col(column).cast("double")
+    values = df.select(x.alias("_x")).filter(~F.isnan("_x") & (F.abs("_x") < float("inf")))
+    low, high = F.col("low"), F.col("high")
+    power = F.floor(F.log10((high - low) / most))
+    widths = F.array(*[F.when(power < 0, m / F.pow(F.lit(10.0), -power)).otherwise(m * F.pow(F.lit(10.0), power)) for m in map(F.lit, (1.0, 2.0, 5.0, 10.0, 20.0))])
+    fitting = F.filter(widths, lambda w: F.floor(high / w) - F.floor(low / w) < most)
+    span = values.agg(F.min("_x").alias("low"), F.max("_x").alias("high")).filter("low is not null")
+    span = span.withColumn("width", F.when(high > low, F.element_at(fitting, 1)).otherwise(F.lit(1.0)))
+    width = span.select("width").scalar()
+    counts = values.groupBy(F.floor(F.col("_x") / width).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    first, last = F.floor(low / F.col("width")), F.floor(high / F.col("width"))
+    # One row per bin, so at most ``most`` rows.
+    bins = span.select("width", first.alias("_first"), F.explode(F.sequence(first, last)).alias("_k"))
+    return bins.join(counts, "_k", "left").select(
+        (F.col("_k") - F.col("_first")).alias("bin"), (F.col("_k") * F.col("width")).alias("bin_start"),
+        ((F.col("_k") + 1) * F.col("width")).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("n"),
+    )

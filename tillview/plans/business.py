@@ -162,6 +162,42 @@ def product_term_frequency(
     return top_k(kept.groupBy("term").agg(F.sum("purchases").alias("n")), "n", k, ["term"])
 
 
+def product_collocations(
+    purchases: DataFrame, k: int | None = None, stop_words: Sequence[str] = (), least: float = 30.0
+) -> DataFrame:
+    """Pairs of neighbouring words of product names that stand together more often than chance has it.
+
+    ``g2`` is the log likelihood ratio of the second word being as frequent after the first as
+    elsewhere; pairs below ``least``, and those that are rarer than by chance, are left out. A word that
+    is too short or a stop word ends a pair. Counts are by purchase; one row holds the number of all words.
+    """
+    words = F.regexp_extract_all(F.lower("product"), F.lit(r"\w[\w']*"), F.lit(0))
+    usable = lambda w: (F.length(w) > 1) & ~w.isin(*stop_words)
+    names = product_popularity(purchases).select(words.alias("words"), "purchases")
+    singles = names.select(F.explode("words").alias("word"), "purchases").filter(usable(F.col("word")))
+    singles = singles.groupBy("word").agg(F.sum("purchases").alias("n"))
+    pairs = names.select(F.explode(F.arrays_zip(
+        F.col("words").alias("first"), F.expr("slice(words, 2, size(words))").alias("second")
+    )).alias("pair"), "purchases").select("pair.*", "purchases")
+    pairs = pairs.filter(F.col("second").isNotNull() & usable(F.col("first")) & usable(F.col("second")))
+    pairs = pairs.groupBy("first", "second").agg(F.sum("purchases").alias("n"))
+    side = lambda name, as_: singles.select(F.col("word").alias(name), F.col("n").alias(as_))
+    counted = pairs.join(side("first", "n_first"), "first").join(side("second", "n_second"), "second")
+    total = singles.agg(F.sum("n")).scalar()
+    both, rest, others = F.col("n"), F.col("n_second") - F.col("n"), total - F.col("n_first")
+
+    def log_odds(hits: Column, tries: Column, share: Column) -> Column:
+        return F.when(hits > 0, hits * F.ln(share)).otherwise(0.0) + F.when(tries > hits, (tries - hits) * F.ln(1 - share)).otherwise(0.0)
+
+    after, elsewhere, anywhere = both / F.col("n_first"), F.try_divide(rest, others), F.col("n_second") / total
+    g2 = 2 * (
+        log_odds(both, F.col("n_first"), after) + log_odds(rest, others, elsewhere)
+        - log_odds(both, F.col("n_first"), anywhere) - log_odds(rest, others, anywhere)
+    )
+    scored = counted.withColumn("g2", F.round(g2, 4)).filter((F.col("g2") >= least) & (after > anywhere))
+    return top_k(scored.select("first", "second", "n", "g2"), "g2", k, ["first", "second"])
+
+
 # -- places and time ------------------------------------------------------------------------
 
 def revenue_by_region(orders: DataFrame) -> DataFrame:
