@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from registry import tables as t
 from registry.core import count, money_avg, money_sum, query
 from registry.tables import SPEND
-from tillview.functions.dates import date_parts
+from tillview.functions.dates import date_parts, order_day
 from tillview.operators import binning, filters, ranking, scoring, sketches
 from tillview.plans import business as b
 from tillview.session import new_folder
@@ -303,6 +303,31 @@ def _(spark, sf):
     return edges.selectExpr("round(edges[0], 4) AS p10", "round(edges[1], 4) AS p50", "round(edges[2], 4) AS p99")
 
 
+RANK_SHARES = """FROM t_orders, (SELECT unnest([0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]) AS p) GROUP BY region, p"""
+
+
+@query("bin_01_sketched_edges", f"SELECT region, CAST(p AS DOUBLE) AS p, count(total_spent) AS n, true AS within_bound {RANK_SHARES}", "t_orders")
+def _(spark, sf):
+    """Edges from stored sketches per day and region, each beside its exact rank in the region's orders."""
+    path, probs = new_folder(spark, "value_sketches"), [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+    orders = t.orders(spark, sf).withColumn("order_day", order_day())
+    sketches.value_sketches(orders, "total_spent", ["order_day", "region"]).write.parquet(path)
+    said = sketches.sketched_edges(spark.read.parquet(path), probs, ["region"])
+    # One row per region, which the planner may broadcast by its size; counts combine before the shuffle.
+    edges = said.select(F.col("region").alias("_region"), "edges")
+    facts = orders.join(edges, F.col("region").eqNullSafe(F.col("_region")))
+    below = [F.count_if(F.col("total_spent") < F.col("edges")[i]) for i in range(len(probs))]
+    upto = [F.count_if(F.col("total_spent") <= F.col("edges")[i]) for i in range(len(probs))]
+    row = F.array(*[F.struct(F.lit(p).alias("p"), b.alias("below"), u.alias("upto")) for p, b, u in zip(probs, below, upto, strict=True)])
+    ranks = facts.groupBy("region").agg(F.count("total_spent").alias("n"), row.alias("ranks"))
+    # Twice the bound of 99% of sketches, about five standard errors, as many edges are checked at once.
+    low, high, place = F.col("x.below") / F.col("n"), F.col("x.upto") / F.col("n"), F.col("x.p")
+    off = F.greatest(F.lit(0.0), low - place, place - high)
+    return ranks.select("region", "n", F.explode("ranks").alias("x")).select(
+        "region", place.alias("p"), "n", (off <= 2 * sketches.rank_error_bound()).alias("within_bound")
+    )
+
+
 @query("bin_02_qcut_orders", """SELECT transaction_id, CASE WHEN total_spent <= e1 THEN 'a' WHEN total_spent <= e2 THEN 'b'
   WHEN total_spent <= e3 THEN 'c' WHEN total_spent <= e4 THEN 'd' ELSE 'e' END AS fifth FROM t_orders,
   (SELECT quantile_cont(total_spent, 0.2) AS e1, quantile_cont(total_spent, 0.4) AS e2,

@@ -13,7 +13,7 @@ from registry.business import label
 from registry.core import query
 from registry.tables import SPEND
 from tillview.functions import lists, numbers
-from tillview.operators import filters, postings, ranking, scoring
+from tillview.operators import filters, postings, rank_directory, ranking, scoring
 from tillview.plans import campaign, model_job
 from tillview.plans import customers as c
 from tillview.session import new_folder
@@ -134,6 +134,14 @@ def _(spark, sf):
     return ranking.page_after(t.recs(spark, sf), 2000000.0, 10**9)
 
 
+@query("srt_04_directory_page", """SELECT *, row_number() OVER (ORDER BY total_spent DESC NULLS LAST, transaction_id) AS number
+  FROM t_orders QUALIFY number BETWEEN 12001 AND 13000""", "t_orders")
+def _(spark, sf):
+    path = new_folder(spark, "rank_directory")
+    rank_directory.write_rank_directory(t.orders(spark, sf), path, tie="transaction_id")
+    return rank_directory.directory_page(spark, path, 13, 1000)
+
+
 @query("srt_05_default_customer", "SELECT * FROM t_recs ORDER BY total_spent DESC, customer_id LIMIT 1", "t_recs")
 def _(spark, sf):
     return c.default_customer(t.recs(spark, sf))

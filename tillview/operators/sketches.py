@@ -1,4 +1,4 @@
-"""Distinct customers from mergeable sketches, kept per day, region and gender.
+"""Distinct customers and quantiles from mergeable sketches, kept per day, region and gender.
 
 Orders are read once, when the sketches are made. Any later choice of days, regions and genders merges
 the stored sketches and never goes back to the orders.
@@ -69,3 +69,36 @@ def estimated_customers(sketches: DataFrame, by: Sequence[str] = ()) -> DataFram
         *by, F.coalesce(F.hll_sketch_estimate("customers"), F.lit(0)).cast("long").alias("customers"),
         F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "revenue",
     )
+
+
+# Size of a quantile sketch; its rank error falls nearly in proportion.
+QUANTILE_K = 800
+
+
+def rank_error_bound(k: int = QUANTILE_K) -> float:
+    """Share of all values by which the rank of an approximate edge may be off (99% of sketches)."""
+    return 2.296 / k**0.9723
+
+
+def value_sketches(df: DataFrame, column: str, by: Sequence[str] = (), k: int = QUANTILE_K) -> DataFrame:
+    """(*by, ``sketch``, ``n``): a mergeable quantile sketch of ``column`` for each group, one map-side pass.
+
+    NULL and NaN take no part; a group without values has a NULL sketch and ``n`` 0. No value is sorted or
+    shuffled: what leaves a task is one sketch of bounded size for each group.
+    """
+    value = F.col(column).cast("double")
+    known = F.when(~F.isnan(value), value)
+    made = df.groupBy(*by).agg(F.kll_sketch_agg_double(known, k).alias("sketch"), F.count(known).alias("n"))
+    return made.withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+
+
+def sketched_edges(sketches: DataFrame, probs: Sequence[float], by: Sequence[str] = (), k: int = QUANTILE_K) -> DataFrame:
+    """(*by, ``edges``, ``n``): approximate quantiles of merged sketches; NULL edges where there are no values.
+
+    The way to ``quantile_edges`` without a range sort: an edge is a value of the column whose rank is off by
+    at most ``rank_error_bound(k)`` of all values. ``qcut`` takes the result as its ``edges``.
+    """
+    merged_rows = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", k).alias("_all"), F.sum("n").alias("n"))
+    found = [F.kll_sketch_get_quantile_double("_all", F.lit(float(p))) for p in probs]
+    edges = F.when(F.col("n") > 0, F.array(*found))
+    return merged_rows.select(*by, edges.alias("edges"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
