@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillview.llm import (
     attention_lm, bpe_tree, inner_top_k, jaccard_join, line_dedup, mixing, paragraph_dedup, plane_files, quality_bands,
@@ -273,12 +275,39 @@ def test_scores(docs):
 def test_training_reads_every_token(spark):
     draw = np.random.default_rng(2)
     sizes = [0, 1, 31, 32, 33, 64, *draw.integers(0, 400, 60).tolist()]
-    texts = [(" ".join(f"w{x}" for x in draw.integers(0, 999, n)),) for n in sizes] + [(None,)]
-    windows = attention_lm.training_windows(spark.createDataFrame(texts, "text string"), vocabulary_path()).collect()
+    texts = [(k, " ".join(f"w{x}" for x in draw.integers(0, 999, n))) for k, n in enumerate(sizes)] + [(None, None)]
+    class_of = np.ones(attention_lm.END_KEY + 1, dtype=np.int64)
+    class_of[attention_lm.END_KEY] = 0
+    last_of = np.zeros(attention_lm.VOCABULARY_SIZE, dtype=np.int64)
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    windows = attention_lm.training_windows(table, vocabulary_path(), class_of, last_of, 3).collect()
     # Every window starts with the token before it, and every text ends with the end mark.
-    assert sum(len(r["keys"]) - 1 for r in windows) == sum(sizes) + len(texts)
-    assert sum(k == attention_lm.END_KEY for r in windows for k in r["keys"][1:]) == len(texts)
+    assert sum(r["size"] - 1 for r in windows) == sum(sizes) + len(texts)
+    codes = [np.frombuffer(r["codes"], "<i2")[: r["size"]] for r in windows]
+    assert sum((c[1:] == 0).sum() for c in codes) == len(texts)
     assert {r["turn"] for r in windows} == set(range(attention_lm.ROUNDS))
+    assert {r["shard"] for r in windows} == {0, 1, 2}
+
+
+def test_scores_do_not_depend_on_the_layout_and_bases_equal_brute_force(spark, folder, monkeypatch):
+    # Several shards in a table as small as this.
+    monkeypatch.setattr(attention_lm, "SHARD_TOKENS", 2000)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    first = {r.doc_id: r for r in attention_lm.score_documents(docs).collect()}
+    second = {r.doc_id: r for r in attention_lm.score_documents(docs.repartition(7, F.xxhash64("text"))).collect()}
+    assert first.keys() == second.keys()
+    for key, r in first.items():
+        assert second[key].score == pytest.approx(r.score, rel=1e-5)
+    fold = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    tokens = {r.doc_id: [*(r.text or "").encode().translate(fold).split(), None] for r in docs.collect()}
+    counts = Counter(t for k, ts in tokens.items() if zlib.crc32(str(k).encode()) % 5 != 1 for t in ts)
+    total, mass = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
+    for key, ts in tokens.items():
+        r = first[key]
+        assert (r.train_tokens, r.n_tokens, r.n_known) == (total, len(ts), sum(t in counts for t in ts))
+        assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 0.5) / mass) for t in ts))
+    held = [r for r in first.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_top_inner_products(spark):
