@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import types as T
 
 from tillview.schemas import REQUIRED, has, is_empty, validate_inputs
@@ -94,3 +94,45 @@ def test_has_and_empty(spark):
     df = spark.range(0)
     assert has(df, "id") and not has(df, "id", "x")
     assert is_empty(df) and not is_empty(spark.range(1))
+
+
+def test_lists_of_recommendations_are_the_items_one_by_one(spark, tmp_path):
+    """Parts that come twice and nameless ones as well: lists hold what ``recommended_items`` gives as rows."""
+    date = "CAST('2001-01-0{}' AS timestamp_ntz)"
+    tables = {
+        "region": "SELECT 1 AS r_regionkey, 'R' AS r_name",
+        "nation": "SELECT 1 AS n_nationkey, 'N' AS n_name, 1 AS n_regionkey",
+        "customer": "SELECT id AS c_custkey, concat('C', id) AS c_name, 1 AS c_nationkey, 'S' AS c_mktsegment FROM range(1, 5)",
+        "part": "SELECT id AS p_partkey, IF(id = 6, NULL, 'p') AS p_name, concat('Brand#', id % 3 + 1) AS p_brand, 1D AS p_retailprice "
+                "FROM range(1, 10) UNION ALL SELECT 4L, 'p', 'Brand#2', 1D",
+        "orders": f"SELECT id AS o_orderkey, id % 4 + 1 AS o_custkey, 5D AS o_totalprice, IF(id < 5, {date.format(1)}, {date.format(2)}) AS o_orderdate, "
+                  "'1' AS o_orderpriority FROM range(1, 9)",
+        "lineitem": "SELECT o AS l_orderkey, (o * 5 + n * 2) % 9 + 1 AS l_partkey, CAST(o + n AS double) AS l_extendedprice, 0D AS l_discount, "
+                    "IF(n = 1, 'F', 'O') AS l_linestatus FROM (SELECT id AS o FROM range(1, 9)), (SELECT id AS n FROM range(1, 4))",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    bought = star.bought_products(spark, str(tmp_path))
+    features = star.category_features(bought)
+    held = star.holdings(bought)
+    assert sorted(rows(held.drop("held"))) == sorted(rows(features))
+    matches = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.5), (3, 4, 0.5), (4, None, None)], "customer_id long, Matched_Customer_ID long, Similarity_Score double")
+    want = {}
+    for customer, product, same in rows(star.recommended_items(matches, bought, features)):
+        if product is not None:
+            want.setdefault((customer, same), []).append(product)
+    found = star.customer_recs(spark, str(tmp_path), matches=matches).collect()
+    columns = {True: "Predicted_Products_from_Same_Category", False: "Predicted_Products_from_Other_Categories"}
+    got = {(r["customer_id"], same): r[c].split(", ") for r in found for same, c in columns.items() if r[c]}
+    assert len(found) == 4 and got == {k: sorted(v) for k, v in want.items()}
+    assert any(len(set(v)) < len(v) for v in want.values())
+    # A latest order holds the open lines of one order only.
+    carts = {r["customer_id"]: (r["in_cart_same_category"], r["in_cart_other_category"]) for r in found}
+    assert all(sum(len(x.split(", ")) for x in pair if x) <= 3 for pair in carts.values())
+
+
+def test_lists_are_dealt_by_customer_once(spark, folder):
+    built = plan(star.holdings(star.bought_products(spark, folder)))
+    exchanges = [line for line in built.splitlines() if "Exchange hashpartitioning(" in line]
+    # Both sums lie below no exchange but the one that deals the purchases.
+    assert "REPARTITION_BY_COL" in exchanges[0] and "LeftAnti" not in plan(star.customer_recs(spark, folder))
