@@ -139,3 +139,14 @@ def test_paging_through_nulls_gives_each_row_once(spark):
         seen += [r["customer_id"] for r in page]
         last = (page[-1]["total_spent"], page[-1]["customer_id"])
     assert seen == [4, 1, 2, 3, 5]
+
+
+def test_page_far_down_equals_top_k(spark):
+    data = [(i, None if i % 7 == 0 else float(i * 37 % 11)) for i in range(60)] + [(None, 3.0), (5, 5.0), (5, 5.0)]
+    df = spark.createDataFrame(data, "customer_id long, total_spent double").repartition(3)
+    for number in (1, 4, 6, 13, 99):
+        near, far = (rows(ranking.page(df, number, 5, top_rows=n).orderBy("number")) for n in (1000, 0))
+        assert near == far
+    assert rows(ranking.page(df.limit(0), 3, top_rows=0)) == []
+    # No task holds the rows before the page.
+    assert ranking.TOP_ROWS < 10**5 and "offset=25" not in plan(ranking.page(df.dropDuplicates(), 6, 5, top_rows=0))
