@@ -6,7 +6,7 @@ import pytest
 from conftest import plan, rows
 
 from registry import tables as t
-from tillview.operators import filters, joins
+from tillview.operators import filters, joins, scoring
 from tillview.sources import layout, star
 
 
@@ -70,3 +70,19 @@ def test_base_join_has_the_same_rows(tables):
 
 def test_counts_per_customer_do_not_shuffle(tables):
     assert "Exchange" not in plan(tables["predictions"].groupBy("customer_id").count())
+
+
+def test_predictions_are_dealt_once_for_scores_and_base(spark, folder):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bought, wide = star.shared_inputs(spark, folder)
+        # Purchases meet features and are added up by customer where they lie.
+        assert "Exchange" not in plan(star.category_features(bought)) and "Exchange" not in plan(bought.join(wide, "customer_id"))
+        predicted = star.predictions(spark, folder, bought=bought, features=wide)
+        stored = scoring.preprocess_predictions(predicted)
+        assert "Exchange" not in plan(stored.groupBy("customer_id").count())
+        again = scoring.scored_predictions(t.predictions(spark, folder))
+        assert stored.exceptAll(again).isEmpty() and stored.count() == again.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

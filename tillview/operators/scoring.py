@@ -68,15 +68,20 @@ def engagement_score(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("_most", most).withColumn("engagement_score", score).drop("_most")
 
 
-def preprocess_predictions(predictions: DataFrame) -> DataFrame:
+def scored_predictions(predictions: DataFrame) -> DataFrame:
     """Fill unknown labels and add both categories and the engagement score, before any filter.
 
-    Edges, maximum and rows all read the predictions, which are written once for the three of them.
+    Edges, maximum and rows all read the predictions, so pass a stored table.
     """
-    known = fill_unknown(written_once(predictions, "predictions")).withColumn("propensity_category", propensity_category())
+    known = fill_unknown(predictions).withColumn("propensity_category", propensity_category())
     return engagement_score(spending_category(known))
 
 
+def preprocess_predictions(predictions: DataFrame) -> DataFrame:
+    """``scored_predictions`` of predictions that are written once, in buckets of the customer."""
+    return scored_predictions(written_once(predictions, "predictions", "customer_id"))
+
+
 def priority_score(df: DataFrame) -> DataFrame:
     """Weighted propensity, engagement and spend relative to the highest of the given rows."""
     highest = df.agg(F.max("total_spent")).scalar()
