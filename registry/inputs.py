@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from registry import tables as t
 from registry.core import count, query
 from tillview.functions.dates import with_order_timestamp
-from tillview.operators import joins
+from tillview.operators import joins, scoring
 from tillview.plans import insights
 from tillview.schemas import input_report, is_empty
 from tillview.session import TableCache, new_folder
@@ -221,11 +221,17 @@ def _(spark, sf):
 
 @query("joi_04_bucketed_base", "SELECT * FROM t_base", "t_base")
 def _(spark, sf):
+    folder = new_folder(spark, "buckets")
+    bought = star.shared_purchases(spark, sf)
+    # The features are stored first, as predictions and carts read them, too.
+    stored = layout.customer_tables({"features": star.category_features(bought)}, folder, buckets=8)
+    wide = stored["features"]
     tables = {
-        "predictions": t.scored(spark, sf), "orders": star.transactions(spark, sf), "rfm": t.rfm(spark, sf),
-        "features": t.features(spark, sf),
+        "predictions": star.predictions(spark, sf, bought=bought, features=wide),
+        "orders": star.transactions(spark, sf, features=wide), "rfm": t.rfm(spark, sf),
     }
-    return layout.bucketed_insights_base(**layout.customer_tables(tables, new_folder(spark, "buckets"), buckets=8))
+    stored |= layout.customer_tables(tables, folder, buckets=8)
+    return layout.bucketed_insights_base(**stored | {"predictions": scoring.scored_predictions(stored["predictions"])})
 
 
 @query("joi_05_recs_base", "SELECT * FROM t_recs_base", "t_recs_base")
