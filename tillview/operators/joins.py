@@ -71,7 +71,8 @@ def insights_base(
 
     The three customer tables have one row per customer and are put together first. The large,
     possibly skewed predictions then meet them in one left join, whose hot keys adaptive
-    execution can split; in a chain of three joins it could not.
+    execution can split; in a chain of three joins it could not. Predictions stored in buckets of the
+    customer are not moved for it, and not split either.
     """
     latest = latest_order_columns(orders)
     both = set(latest.columns) & set(predictions.columns) - {"customer_id"}
