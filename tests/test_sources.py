@@ -136,3 +136,21 @@ def test_lists_are_dealt_by_customer_once(spark, folder):
     exchanges = [line for line in built.splitlines() if "Exchange hashpartitioning(" in line]
     # Both sums lie below no exchange but the one that deals the purchases.
     assert "REPARTITION_BY_COL" in exchanges[0] and "LeftAnti" not in plan(star.customer_recs(spark, folder))
+
+
+def test_stored_lists_meet_matches_where_they_lie(spark, folder):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = plan(star.customer_recs(spark, folder))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # Only the matches are dealt by the matched customer; own lists, features and matched lists are read in buckets.
+    assert built.count("Exchange hashpartitioning(Matched_Customer_ID#") == 1
+    assert built.count("Bucketed: true") == 4 and "BroadcastExchange" not in built
+
+
+def test_lists_are_never_broadcast(spark, folder):
+    built = plan(star.customer_recs(spark, folder))
+    lists = [line for line in built.splitlines() if "FileScan" in line and "held#" in line]
+    assert len(lists) == 2 and all("Bucketed: true" in line for line in lists)
