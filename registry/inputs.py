@@ -252,7 +252,9 @@ def _(spark, sf):
   b.name AS matched_name, b.purchased_products_names AS matched_products_names
   FROM t_recs a LEFT JOIN t_recs b ON b.customer_id = a.Matched_Customer_ID""", "t_recs")
 def _(spark, sf):
-    return joins.similar_customer(t.recs(spark, sf)).select(
+    # Only what the result shows is written and sent to the matched customers.
+    recs = t.recs(spark, sf).select("customer_id", "name", "purchased_products_names", "Matched_Customer_ID")
+    return joins.similar_customer(recs).select(
         "customer_id", "Matched_Customer_ID", "matched_name", "matched_products_names"
     )
 
