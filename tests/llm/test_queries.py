@@ -167,6 +167,24 @@ def test_recall_of_similar_lines(spark):
     assert min(recall.values()) >= 0.95, recall
 
 
+def test_lines_that_share_one_triple(spark):
+    """Long lines with one letter changed in every other pair of words, and one triple of near words left."""
+    draw, pairs = np.random.default_rng(4), []
+    for _ in range(40):
+        words = ["".join(draw.choice(list("etaoinshrdlucmfw"), 8)) for _ in range(60)]
+        good = 4 * int(draw.integers(2, 12))
+        bad = lambda k: k % 4 > 1 and k != good + 2
+        pairs.append((" ".join(words), " ".join("z" + w[1:] if bad(k) else w for k, w in enumerate(words))))
+    lines = spark.createDataFrame([(n, k, p[k]) for n, p in enumerate(pairs) for k in (0, 1)], "n long, k int, norm string")
+    hashes = line_dedup.simhashes(lines.withColumn("node", F.unhex(F.md5("norm")))).collect()
+    hashed = {bytes(r.node): r.simhash for r in hashes}
+    name = lambda x: hashlib.md5(x.encode()).digest()
+    near = [n for n, p in enumerate(pairs) if ((hashed[name(p[0])] ^ hashed[name(p[1])]) & (2**64 - 1)).bit_count() <= line_dedup.BITS]
+    rows = [(2 * n + k, p[k]) for n, p in enumerate(pairs) for k in (0, 1)]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(near) >= 20 and sorted(r.doc_id for r in found if r.text == "") == [2 * n + 1 for n in near]
+
+
 def test_paragraphs(docs):
     rows = paragraph_dedup.repeated_paragraphs(docs).collect()
     assert {r.doc_id for r in rows} == {1, 2, 3, 8}
