@@ -11,7 +11,7 @@ import zstandard
 
 from tillview.llm import attention_lm, paragraph_dedup, plane_files, quality_bands, shingles, token_counts
 from tillview.llm.bpe_tree import TreeCoder
-from tillview.llm.subwords import vocabulary_path
+from tillview.llm.subwords import PackedCoder, vocabulary_path
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,17 @@ def test_tree_encoding_equals_library(coder):
     assert coder.encode(None).tolist() == []
 
 
+def test_packed_ids_equal_library(coder):
+    """Ids as bytes, with tables so small that they are emptied many times."""
+    draw, library, packed = random.Random(8), coder.words.tokenizer, PackedCoder(coder.words, 8)
+    for _ in range(200):
+        letters = "".join(draw.sample((*ALPHABETS, "AbcZ", "ÿĀſƀ", "<|endoftext|>"), 2))
+        stretches = ["".join(draw.choice(letters) for _ in range(draw.choice([1, 5, 20, 90]))).strip() for _ in range(9)]
+        stretches = " ".join([*stretches, "The", "the,", "<|endoftext|>"]).encode().split()
+        assert packed.ids(stretches).tolist() == [i for s in stretches for i in library.encode(s.decode(), add_special_tokens=False).ids]
+    assert len(packed) <= 8 and packed.ids([]).tolist() == []
+
+
 @pytest.mark.parametrize("bits", [16, 32])
 def test_planes_round_trip(bits):
     ids = np.random.default_rng(1).integers(0, 1 << min(bits, 31), 5001).astype(np.uint32)

@@ -23,14 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tillview.llm.common import add_columns, byte_words
-from tillview.llm.subwords import SubwordCoder, vocabulary_path
+from tillview.llm.common import add_columns, byte_words, worker_value
+from tillview.llm.subwords import PackedCoder, SubwordCoder, vocabulary_path, whole_tokenizer
 
 # Stretches up to this many bytes are encoded as they are.
 LEAF_BYTES = 256
 WINDOW_BYTES = 32
-# Known stretches of one task, and half its known pre-tokens.
+# Known stretches of one task: of texts with a stretch beyond a leaf, and of all others, parts of stretches included.
 KNOWN_WORDS = 1 << 17
+PACKED_WORDS = 1 << 19
 
 
 @dataclass
@@ -43,25 +44,28 @@ class Piece:
     starts: list[int]
 
 
+def bare_tokenizer(path: str):
+    """The tokenizer of a file without its normalizer; names of its ids, whether they end a word, and their bytes."""
+    from tokenizers import normalizers
+
+    bare = whole_tokenizer(path)
+    bare.normalizer = normalizers.Sequence([])
+    names = [bare.id_to_token(i) or "" for i in range(bare.get_vocab_size(with_added_tokens=True))]
+    return bare, names, [name.endswith("</w>") for name in names], [len(name.removesuffix("</w>")) for name in names]
+
+
 class TreeCoder:
     """Encodes and decodes texts with a tokenizer file; see the module text for the method."""
 
     def __init__(self, path: str, leaf: int = LEAF_BYTES):
         import regex
-        from tokenizers import Tokenizer, normalizers
 
         self.leaf = leaf
         # The tables of known words belong to this coder and go with it.
         self.words = SubwordCoder(path, KNOWN_WORDS)
+        self.packed = PackedCoder(self.words, PACKED_WORDS)
         self.normal = self.words.tokenizer.normalizer
-        self.bare = Tokenizer.from_file(path)
-        self.bare.no_truncation()
-        self.bare.no_padding()
-        self.bare.normalizer = normalizers.Sequence([])
-        size = self.bare.get_vocab_size(with_added_tokens=True)
-        self.names = [self.bare.id_to_token(i) or "" for i in range(size)]
-        self.ends = [name.endswith("</w>") for name in self.names]
-        self.bytes = [len(name.removesuffix("</w>")) for name in self.names]
+        self.bare, self.names, self.ends, self.bytes = worker_value(f"bare:{path}", lambda: bare_tokenizer(path))
         self.letters = regex.compile(r"\p{L}+")
         self.marks = regex.compile(r"[^\s\p{L}\p{N}']+")
 
@@ -69,7 +73,7 @@ class TreeCoder:
         """Ids of a whole text."""
         stretches = byte_words(text)
         if max(map(len, stretches), default=0) <= self.leaf:
-            return self.words.ids(stretches)
+            return self.packed.ids(stretches)
         ids: list[int] = []
         for stretch in stretches:
             if len(stretch) <= self.leaf:
