@@ -161,6 +161,14 @@ def test_unpunctuated_passages_are_cut_alike():
     assert paragraph_dedup.paragraphs("one two three four five.\" one two three four five six seven")[0][1][-1] == b'five."'
 
 
+def test_sentence_ends_by_last_byte():
+    draw = random.Random(9)
+    words = ["".join(draw.choice("ab.!?。！？\"')]”’»」』,é日") for _ in range(draw.randint(1, 5))).encode() for _ in range(3000)]
+    ends = [w.endswith(paragraph_dedup.ENDS) or w.rstrip(paragraph_dedup.CLOSING).endswith(paragraph_dedup.ENDS) for w in words]
+    assert paragraph_dedup.sentence_ends(words).tolist() == ends and 500 < sum(ends) < 2900
+
+
+
 def test_attention_gradients_and_windows():
     draw = np.random.default_rng(0)
     model = attention_lm.Attention.fresh(np.zeros(attention_lm.CLASSES))

@@ -41,6 +41,8 @@ MOST_WORDS = 24
 ENDS = (b".", b"!", b"?", "。".encode(), "！".encode(), "？".encode())
 # Quotes and brackets that may follow the end of a sentence.
 CLOSING = "\"')]”’»」』".encode()
+# A word that ends a sentence ends in one of these.
+LAST_BYTES = frozenset(CLOSING) | {end[-1] for end in ENDS}
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -48,12 +50,20 @@ def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: in
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+def sentence_ends(words: list[bytes]) -> np.ndarray:
+    """Whether each word ends a sentence; most words are settled by their last byte."""
+    ends = np.zeros(len(words), dtype=bool)
+    for k in [k for k, w in enumerate(words) if w[-1] in LAST_BYTES]:
+        ends[k] = words[k].endswith(ENDS) or words[k].rstrip(CLOSING).endswith(ENDS)
+    return ends
+
+
 def cuts(words: list[bytes], hashes: np.ndarray, lines: np.ndarray) -> list[int]:
     """Word numbers before which a text is cut; ``lines`` marks words that start a line."""
     if len(words) < 2:
         return []
     pairs = mixed(hashes[:-1] + mixed(hashes[1:]))
-    ends = np.fromiter((w.endswith(ENDS) or w.rstrip(CLOSING).endswith(ENDS) for w in words[:-1]), dtype=bool, count=len(words) - 1) | lines[1:]
+    ends = sentence_ends(words[:-1]) | lines[1:]
     # Every place between two words may be a cut; ends of lines and sentences come before all others.
     marks = (pairs >> np.uint64(2)) + np.where(ends, np.uint64(0), np.uint64(1 << 62))
     padded = np.pad(marks, CUT_REACH, constant_values=np.uint64(2**64 - 1))
@@ -73,24 +83,28 @@ def cuts(words: list[bytes], hashes: np.ndarray, lines: np.ndarray) -> list[int]
     return found
 
 
-def paragraphs(text: str | None) -> list[tuple[int, list[bytes]]]:
-    """(number of the first word, words) of every paragraph with words."""
+def cut_text(text: str | None) -> tuple[list[bytes], np.ndarray, list[int]]:
+    """Words of a text, their hashes, and where its paragraphs start and end."""
     lists = [folded_words(line) for line in (text or "").split("\n")]
     words = [w for line in lists for w in line]
+    hashes = word_hashes().of(words)
     if not words:
-        return []
+        return words, hashes, []
     lines = np.zeros(len(words) + 1, dtype=bool)
     lines[np.cumsum([len(line) for line in lists])] = True
-    edges = [0, *cuts(words, word_hashes().of(words), lines[:-1]), len(words)]
+    return words, hashes, [0, *cuts(words, hashes, lines[:-1]), len(words)]
+
+
+def paragraphs(text: str | None) -> list[tuple[int, list[bytes]]]:
+    """(number of the first word, words) of every paragraph with words."""
+    words, _, edges = cut_text(text)
     return [(a, words[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def shingle_rows(word_lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lists, one after the other, and where each list starts."""
-    known = word_hashes()
-    counts = np.array([len(w) for w in word_lists])
-    hashes = np.concatenate([known.of(w) for w in word_lists])
-    windows = window_hashes(hashes, WIDTH)
+def shingle_rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all lists of word hashes, one after the other, and where each list starts."""
+    counts = np.array([len(x) for x in lists])
+    windows = window_hashes(np.concatenate(lists), WIDTH)
     owner = np.repeat(np.arange(len(counts)), counts)
     inside = owner[WIDTH - 1 :] == owner[: len(owner) - WIDTH + 1]
     sizes = counts - WIDTH + 1
@@ -120,12 +134,13 @@ def paragraph_index(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for lo in range(0, batch.num_rows, 500):
             docs_, numbers, firsts, lists = [], [], [], []
             for doc, text in zip(batch.column(0).slice(lo, 500).to_pylist(), batch.column(1).slice(lo, 500), strict=True):
-                for number, (first, words) in enumerate(paragraphs(text.as_py())):
-                    if len(words) >= LEAST_WORDS:
+                _, hashes, edges = cut_text(text.as_py())
+                for number, (first, end) in enumerate(zip(edges, edges[1:], strict=False)):
+                    if end - first >= LEAST_WORDS:
                         docs_.append(doc)
                         numbers.append(number)
                         firsts.append(first)
-                        lists.append(words)
+                        lists.append(hashes[first:end])
             if not lists:
                 continue
             shingles, starts = shingle_rows(lists)
@@ -153,7 +168,8 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for text in batch.column("text"):
-            lists = [w for _, w in paragraphs(text.as_py()) if len(w) >= LEAST_WORDS]
+            _, hashes, edges = cut_text(text.as_py())
+            lists = [hashes[a:b] for a, b in zip(edges, edges[1:], strict=False) if b - a >= LEAST_WORDS]
             if lists:
                 shingles, starts = shingle_rows(lists)
                 parts = [shingles[a:b] for a, b in zip(starts, np.append(starts[1:], len(shingles)), strict=True)]
