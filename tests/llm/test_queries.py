@@ -191,6 +191,22 @@ def test_paragraphs(docs):
     assert all(r.kept == (r.doc_id == 1) for r in rows if r.kept_doc_id == 1)
 
 
+def test_bits_of_sets_lose_no_similar_pair(spark):
+    draw, sets = np.random.default_rng(6), []
+    for _ in range(20):
+        whole = draw.integers(-(2**62), 2**62, int(draw.integers(1, 30)))
+        sets += [sorted({int(t) for t in whole if draw.random() < 0.93} | {int(draw.integers(0, 64))}) for _ in range(8)]
+    rows = spark.createDataFrame(list(enumerate(sets)), "node long, tokens array<long>")
+    rows = rows.select("node", paragraph_dedup.set_bits("tokens").alias("bits"), F.size("tokens").alias("size"))
+    x, y = (rows.select(*[F.col(c).alias(c + s) for c in rows.columns]) for s in "xy")
+    sides = [F.col(c + s) for s in "xy" for c in ("bits", "size")]
+    pairs = x.join(y, F.col("nodex") < F.col("nodey")).where(paragraph_dedup.near_sets(*sides, 0.8))
+    near = {(r.nodex, r.nodey) for r in pairs.collect()}
+    similar = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if similar(set(a), set(b))}
+    assert len(want) > 50 and want <= near and len(near) < 160 * 159 // 20
+
+
 def test_passages_of_short_lines(spark):
     draw = np.random.default_rng(12)
     words = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 9999, n))

@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillview.llm.common import dropped, folded_words, map_rows, mixed, semi_join, stored, window_hashes, word_hashes
@@ -189,6 +189,19 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return joined.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def set_bits(tokens: str) -> Column:
+    """64 bits, one set by each token; sets that differ in n tokens differ in at most n of them."""
+    return F.expr(f"aggregate({tokens}, 0L, (bits, t) -> bits | shiftleft(1L, cast(t & 63L as int)))")
+
+
+def near_sets(x: Column, m: Column, y: Column, n: Column, similarity: float) -> Column:
+    """Whether sets with these bits and sizes may be that similar; never false for sets that are.
+
+    The union has at most ``least(m, n) / similarity`` tokens, and a share of ``1 - similarity`` of it may be in one set only.
+    """
+    return F.bit_count(x.bitwiseXOR(y)) * similarity <= (1 - similarity) * F.least(m, n) + 1e-9
+
+
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, para, first_word, n_words, kept_doc_id, kept) of all paragraphs that occur repeatedly."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -202,7 +215,12 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     wanted = index.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     found = paragraph_sets(semi_join(docs, wanted, ["doc_id"]))
     sets = stored(semi_join(found, nodes, ["node"]).dropDuplicates(["node"]), "sets")
-    groups = linked_groups(buckets, lambda pairs: similar_pairs(pairs, sets, similarity))
+    # Most nodes of a bucket are far from similar; their bits tell before any pair is written.
+    marked = sets.select("node", set_bits("tokens").alias("bits"), F.size("tokens").alias("size"))
+    marked = stored(buckets.join(marked, "node").select("bucket", "node", "bits", "size"), "marked")
+    groups = linked_groups(
+        marked, lambda pairs: similar_pairs(pairs, sets, similarity), lambda *sides: near_sets(*sides, similarity)
+    )
 
     # Occurrences are counted before they are joined, so a frequent paragraph is one row on this side.
     counted = index.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "para")).alias("first"))
@@ -216,7 +234,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     edge = F.coalesce(F.lag(F.col("first_word") + F.col("n_words")).over(place) != F.col("first_word"), F.lit(True))
     runs = hits.withColumn("edge", edge.cast("int")).withColumn("run", F.sum("edge").over(place))
     runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    dropped(buckets, nodes, sets, placed, groups)
+    dropped(buckets, nodes, sets, marked, placed, groups)
     return runs.where(F.col("run_words") >= RUN_WORDS).select(
         "doc_id", "para", "first_word", "n_words", F.col("kept_at.doc_id").alias("kept_doc_id"),
         ((F.col("kept_at.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("kept_at.para") == F.col("para"))).alias("kept"),
