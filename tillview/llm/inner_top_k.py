@@ -223,7 +223,8 @@ def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = K) ->
     spread = floored.select("*", groups)
     dealt = side(c_blocks, "c", F.pmod(F.xxhash64("block"), F.lit(SPREAD)).cast("int").alias("c_group"))
     reachable = F.col("q_top") * F.col("c_top") >= F.col("least") - SLACK
-    met = spread.join(dealt, (F.col("q_group") == F.col("c_group")) & (F.col("q_dim") == F.col("c_dim")) & reachable)
+    # The planner takes blocks for their packed size on disk, once for all groups, and would broadcast the copies.
+    met = spread.hint("merge").join(dealt, (F.col("q_group") == F.col("c_group")) & (F.col("q_dim") == F.col("c_dim")) & reachable)
     hits = map_rows(met.drop("q_group", "c_group"), FOUND, hits_of).distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     result = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
