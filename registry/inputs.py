@@ -11,7 +11,7 @@ from tillview.functions.dates import with_order_timestamp
 from tillview.operators import joins, scoring
 from tillview.plans import insights
 from tillview.schemas import input_report, is_empty
-from tillview.session import TableCache, new_folder
+from tillview.session import TableCache, new_folder, written_once
 from tillview.sources import files, layout, star
 
 PURCHASES = """SELECT customer_id, product, category, CAST(amount AS DOUBLE) AS amount, price_inr
@@ -65,9 +65,8 @@ def _(spark, sf):
 
 @query("pre_07_recommended_items", "SELECT * FROM t_recommended", "t_recommended")
 def _(spark, sf):
-    features = t.features(spark, sf)
-    bought = star.bought_products(spark, sf)
-    return star.recommended_items(star.customer_matches(features), bought, features)
+    bought, features = star.shared_inputs(spark, sf)
+    return star.recommended_items(written_once(star.customer_matches(features), "matches"), bought, features)
 
 
 # -- reading: each table is written as CSV to the shared folder and read by its reader ------
